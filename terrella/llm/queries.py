@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrella.llm import language_id, quality
+from terrella.llm.common import remainder
 from terrella.llm.exact_dedup import exact_dedup
+from terrella.llm.html_text import extract_pages
 from terrella.llm.line_dedup import line_dedup
 
 
@@ -13,6 +16,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs, remainder(docs["doc_id"]) != 2, per_language=1500)
+    out = language_id.identify(docs, model)
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(remainder(F.col("id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+
+
+#: A score of at least this is predicted to be of quality.
+QUALITY_FROM = 0.7
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, remainder(labels["doc_id"]) != 2)
+    out = quality.score(docs, model)
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup(docs, min_docs=10, min_chars=1, keep_text=False)
@@ -24,6 +50,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
