@@ -10,6 +10,8 @@ from terrella.llm.common import remainder
 from terrella.llm.exact_dedup import exact_dedup
 from terrella.llm.html_text import extract_pages
 from terrella.llm.line_dedup import line_dedup
+from terrella.llm.mixing import COPY, mixed
+from terrella.llm.personal_data import personal_data, report
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce(remainder(F.col("id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_pages(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
@@ -49,7 +55,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+#: Weights of sources in the training mix; sources that are not named have 1.
+MIX_WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 1.5}
+MIX_SEED = 17
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(_read(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
+    return out.select("doc_id", "text", "lang", "source", "n_chars", F.col(COPY).cast("long").alias("copy"))
+
+
 QUERIES = {
+    "op3_personal_data": op3_personal_data,
+    "op9_source_mixing": op9_source_mixing,
     "op1_language_id": op1_language_id,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_classifier": op5_quality_classifier,
@@ -61,7 +79,17 @@ QUERIES = {
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
+_UNIT = "('0x' || substr(md5('{seed}|0|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
+
 ORACLE_SQL = {
+    "op9_source_mixing": f"""
+        WITH c AS (SELECT source, count(*)::DOUBLE AS n, ({_WEIGHT})::DOUBLE AS w FROM documents GROUP BY source),
+        r AS (SELECT source, w / (sum(w) OVER ()) * (sum(n) OVER ()) / n AS rate FROM c),
+        p AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS f FROM r, range(0, 200) t(k)),
+        d AS (SELECT row_number() OVER () AS r, *, {_UNIT.format(seed=MIX_SEED)} AS u FROM documents),
+        m AS (SELECT d.r, count(*) AS n FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.f <= d.u GROUP BY d.r)
+        SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::BIGINT AS copy FROM d JOIN m USING (r)""",
     "op7_line_dedup": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM d),
