@@ -81,7 +81,7 @@ CHECKS = {
 }
 #: The strict form of each kind, as the first labeler sees it.
 STRICT = (
-    r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$",
+    r"^[A-Za-z0-9][^@]*@[A-Za-z0-9.-]*\.[A-Za-z]{2,}$",
     r"^(?:[1-9]|1?[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.[0-9]{1,3}){3}$",
     r"^(?:[3-6][0-9]{13,18}|[3-6][0-9]{3}(?:[ -][0-9]{4}){3})$",
     r"^\+?[0-9()][0-9() .-]{8,}[0-9]$",
