@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -55,6 +56,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that have ended: Spark removes them once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tune(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows of an Arrow batch, so that long texts do not pile up in a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

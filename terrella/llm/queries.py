@@ -10,6 +10,7 @@ from terrella.llm.common import remainder
 from terrella.llm.exact_dedup import exact_dedup
 from terrella.llm.html_text import extract_pages
 from terrella.llm.line_dedup import line_dedup
+from terrella.llm.media import media_features
 from terrella.llm.mixing import COPY, mixed
 from terrella.llm.personal_data import personal_data, report
 
@@ -25,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce(remainder(F.col("id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -66,6 +71,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_media_columns": op2_media_columns,
     "op3_personal_data": op3_personal_data,
     "op9_source_mixing": op9_source_mixing,
     "op1_language_id": op1_language_id,
