@@ -12,6 +12,7 @@ from terrella.llm.html_text import extract_pages
 from terrella.llm.line_dedup import line_dedup
 from terrella.llm.media import media_features
 from terrella.llm.mixing import COPY, mixed
+from terrella.llm.near_dedup import near_duplicates
 from terrella.llm.personal_data import personal_data, report
 
 
@@ -60,6 +61,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
 #: Weights of sources in the training mix; sources that are not named have 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 1.5}
 MIX_SEED = 17
@@ -71,6 +76,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op10_near_dedup": op10_near_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_personal_data": op3_personal_data,
     "op9_source_mixing": op9_source_mixing,
