@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrella.llm import language_id, quality
+from terrella.llm import language_id, quality, segmentation
 from terrella.llm.common import remainder
 from terrella.llm.exact_dedup import exact_dedup
 from terrella.llm.html_text import extract_pages
@@ -51,6 +51,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= QUALITY_FROM).cast("int").alias("predicted"))
 
 
+def op6_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = segmentation.sample(docs, segmentation.vocabulary(spark), k=2)
+    return out.withColumnRenamed("id", "doc_id").withColumn("n_pieces", F.size("ids").cast("long"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup(docs, min_docs=10, min_chars=1, keep_text=False)
@@ -76,6 +82,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_segmentation": op6_segmentation,
     "op10_near_dedup": op10_near_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_personal_data": op3_personal_data,
