@@ -14,6 +14,26 @@ EPS = 2.220446049250313e-16
 INF = float("inf")
 
 
+class Stage:
+    """Holds intermediate results of a data frame's rows as columns, so that expressions that use them stay small."""
+
+    def __init__(self, df):
+        self.df, self.n = df, 0
+
+    def __call__(self, value):
+        """A column or vector as a reference to a held column."""
+        columns = list(value) if isinstance(value, Vec3) else [value]
+        names = [f"__stage{self.n + k}" for k in range(len(columns))]
+        self.n += len(columns)
+        self.df = self.df.withColumns(dict(zip(names, columns, strict=True)))
+        refs = [F.col(n) for n in names]
+        return Vec3(*refs) if isinstance(value, Vec3) else refs[0]
+
+
+def _same(value):
+    return value
+
+
 def nearly(a: Column, b, absolute: float = EPS, relative: float = EPS) -> Column:
     """Equal within an absolute bound, or one relative to the larger of the two."""
     b = b if isinstance(b, Column) else F.lit(float(b))
@@ -211,44 +231,49 @@ def ray_approach(o1: Vec3, d1: Vec3, o2: Vec3, d2: Vec3) -> tuple[Column, Vec3]:
     return t, o1.plus(d1.times(t))
 
 
-def solid_angle(observer: Vec3, direction: Vec3, points: list[Vec3]) -> Column:
+def solid_angle(observer: Vec3, direction: Vec3, points: list[Vec3], hold=_same) -> Column:
     """Projected solid angle of a polygon, as a share of the full turn; edges in line with the observer count nothing."""
     total = F.lit(0.0)
     for i, p in enumerate(points):
-        v0, v1 = p.minus(observer), points[(i + 1) % len(points)].minus(observer)
-        tau = v0.cross(v1).normalized_or_zero()
-        cosine = F.least(F.greatest(v0.normalized_or_zero().dot(v1.normalized_or_zero()), F.lit(-1.0)), F.lit(1.0))
+        v0, v1 = hold(p.minus(observer)), hold(points[(i + 1) % len(points)].minus(observer))
+        tau = hold(v0.cross(v1).normalized_or_zero())
+        cosine = hold(F.least(F.greatest(v0.normalized_or_zero().dot(v1.normalized_or_zero()), F.lit(-1.0)), F.lit(1.0)))
         total = total - direction.dot(tau) * F.acos(cosine)
     return total / (2 * math.pi)
 
 
-def box_ray(box: Box, origin: Vec3, direction: Vec3) -> dict[str, Column]:
+def box_ray(box: Box, origin: Vec3, direction: Vec3, hold=_same) -> dict[str, Column]:
     """``none``, ``inside`` (the origin) or ``through`` (the point of entry)."""
-    candidate = [F.when(origin[k] < box.lo[k], box.lo[k]).when(origin[k] > box.hi[k], box.hi[k]) for k in range(3)]
+    box, origin, direction = Box(hold(box.lo), hold(box.hi)), hold(origin), hold(direction)
+    candidate = hold(Vec3(*(F.when(origin[k] < box.lo[k], box.lo[k]).when(origin[k] > box.hi[k], box.hi[k]) for k in range(3))))
     inside = candidate[0].isNull() & candidate[1].isNull() & candidate[2].isNull()
-    t = [F.when(candidate[k].isNotNull() & (direction[k] != 0), (candidate[k] - origin[k]) / F.when(direction[k] != 0, direction[k])).otherwise(-1.0) for k in range(3)]
-    far = F.greatest(*t)
-    which = pick([(t[0] == far, F.lit(0)), (t[1] == far, F.lit(1))], F.lit(2))
-    p = [F.when(which == k, candidate[k]).otherwise(origin[k] + far * direction[k]) for k in range(3)]
+    t = hold(Vec3(*(F.when(candidate[k].isNotNull() & (direction[k] != 0), (candidate[k] - origin[k]) / F.when(direction[k] != 0, direction[k])).otherwise(-1.0) for k in range(3))))
+    far = hold(F.greatest(*t))
+    which = hold(pick([(t[0] == far, F.lit(0)), (t[1] == far, F.lit(1))], F.lit(2)))
+    p = hold(Vec3(*(F.when(which == k, candidate[k]).otherwise(origin[k] + far * direction[k]) for k in range(3))))
     hits = F.lit(True)
     for k in range(3):
         hits = hits & ((which == k) | p[k].between(box.lo[k], box.hi[k]))
     kind = pick([(inside, F.lit("inside")), (far < 0, F.lit("none")), (hits, F.lit("through"))], F.lit("none"))
+    kind = hold(kind)
     return {"kind": kind, **{a: F.when(kind == "inside", origin[k]).when(kind == "through", p[k]) for k, a in enumerate("xyz")}}
 
 
-def plane_segment(plane: Plane, a: Vec3, b: Vec3) -> dict[str, Column]:
+def plane_segment(plane: Plane, a: Vec3, b: Vec3, hold=_same) -> dict[str, Column]:
     """``coplanar``, ``above``, ``below`` or ``intersect``, a point, and the distances that go with the case.
 
     above: the closest point of the plane and the distance.  below: the deepest end's point on the plane, how deep the
     deepest end is (``interpen``) and how deep the other one is (``depth``).  intersect: the point, whether the start is
     in front, and how deep the end behind the plane is.
     """
-    d0, d1 = plane.distance_to(a), plane.distance_to(b)
+    plane = Plane(hold(plane.normal), hold(plane.distance))
+    a, b = hold(a), hold(b)
+    d0, d1 = hold(plane.distance_to(a)), hold(plane.distance_to(b))
     seg = segment_measures(a, b)
-    bottom = seg["direction"].dot(plane.normal)
-    parallel = nearly(bottom, 0.0)
-    t = (plane.distance - a.dot(plane.normal)) / F.when(~parallel, bottom)
+    seg = {"length": hold(seg["length"]), "direction": hold(seg["direction"]), "center": hold(seg["center"])}
+    bottom = hold(seg["direction"].dot(plane.normal))
+    parallel = hold(nearly(bottom, 0.0))
+    t = hold((plane.distance - a.dot(plane.normal)) / F.when(~parallel, bottom))
     apart = (t < 0) | (t > seg["length"])
     middle = plane.closest(seg["center"])
     flat = F.abs(d0) <= 0.000_001
@@ -265,15 +290,15 @@ def plane_segment(plane: Plane, a: Vec3, b: Vec3) -> dict[str, Column]:
     ]
     null = F.lit(None).cast("double")
     p = pick_vec([(w, v) for w, _, v, _, _, _ in cases])
-    out = {"kind": pick([(c[0], F.lit(c[1])) for c in cases]), "x": p.x, "y": p.y, "z": p.z}
+    out = {"kind": hold(pick([(c[0], F.lit(c[1])) for c in cases])), "x": p.x, "y": p.y, "z": p.z}
     for k, name in ((3, "distance"), (4, "interpen"), (5, "depth")):
-        out[name] = pick([(c[0], null if c[k] is None else c[k]) for c in cases])
+        out[name] = hold(pick([(c[0], null if c[k] is None else c[k]) for c in cases]))
     return out | {"start_in_front": F.when(out["kind"] == "intersect", front)}
 
 
-def capsule_plane(plane: Plane, a: Vec3, b: Vec3, radius: Column) -> dict[str, Column]:
+def capsule_plane(plane: Plane, a: Vec3, b: Vec3, radius: Column, hold=_same) -> dict[str, Column]:
     """``above`` (distance), ``intersect`` (interpen) or ``below`` (interpen, depth), by the segment's own case."""
-    s = plane_segment(plane, a, b)
+    s = plane_segment(plane, a, b, hold)
     above, below = s["kind"] == "above", s["kind"] == "below"
     clear, sunk = above & (s["distance"] > radius), below & (s["depth"] > radius)
     kind = pick([(clear, F.lit("above")), (sunk, F.lit("below"))], F.lit("intersect"))
@@ -281,20 +306,23 @@ def capsule_plane(plane: Plane, a: Vec3, b: Vec3, radius: Column) -> dict[str, C
     return {"kind": kind, "x": s["x"], "y": s["y"], "z": s["z"], "distance": F.when(clear, s["distance"] - radius), "interpen": interpen, "depth": F.when(sunk, s["depth"] - radius)}
 
 
-def circle_plane(center: Vec3, normal: Vec3, radius: Column, plane: Plane, offset: float = 0.0) -> dict[str, Column]:
+def circle_plane(center: Vec3, normal: Vec3, radius: Column, plane: Plane, offset: float = 0.0, hold=_same) -> dict[str, Column]:
     """``parallel``, ``in_front``, ``behind``, ``tangent`` (p) or ``intersection`` (p and q)."""
-    own = Plane.through(center, normal)
-    line = normal.cross(plane.normal)
-    size = line.dot(line)
-    parallel = nearly(size, 0.0)
-    d = line.normalized()
+    center, normal, radius = hold(center), hold(normal), hold(radius)
+    plane = Plane(hold(plane.normal), hold(plane.distance))
+    own = Plane(normal, hold(center.dot(normal)))
+    line = hold(normal.cross(plane.normal))
+    size = hold(line.dot(line))
+    parallel = hold(nearly(size, 0.0))
+    d = hold(line.normalized())
     # The point of both planes that is closest to the origin.
-    p0 = plane.normal.cross(line).times(own.distance).plus(line.cross(normal).times(plane.distance)).over(F.when(~parallel, size))
-    near = p0.plus(d.times(center.minus(p0).dot(d)))
-    gap = center.minus(near).length()
+    p0 = hold(plane.normal.cross(line).times(own.distance).plus(line.cross(normal).times(plane.distance)).over(F.when(~parallel, size)))
+    near = hold(p0.plus(d.times(center.minus(p0).dot(d))))
+    gap = hold(center.minus(near).length())
     tangent = nearly(gap, radius, relative=1e-9)
     miss = (gap > radius) & ~tangent
     kind = pick([(parallel, F.lit("parallel")), (miss & plane.in_front(center, offset), F.lit("in_front")), (miss, F.lit("behind")), (tangent, F.lit("tangent"))], F.lit("intersection"))
+    kind = hold(kind)
     half = F.sqrt(F.greatest(radius * radius - gap * gap, F.lit(0.0)))
     hit, two = kind.isin("tangent", "intersection"), kind == "intersection"
     step = d.times(F.when(two, half).otherwise(0.0))
@@ -313,33 +341,35 @@ def sphere_plane(center: Vec3, radius: Column, plane: Plane) -> dict[str, Column
     }
 
 
-def ray_sphere(origin: Vec3, direction: Vec3, center: Vec3, radius: Column) -> dict[str, Column]:
+def ray_sphere(origin: Vec3, direction: Vec3, center: Vec3, radius: Column, hold=_same) -> dict[str, Column]:
     """The first hit at or ahead of the origin, or nulls."""
-    m = origin.minus(center)
-    a, b, c = direction.dot(direction), 2.0 * direction.dot(m), m.dot(m) - radius * radius
-    disc = b * b - 4.0 * a * c
-    root = F.sqrt(F.when(disc >= 0, disc))
-    q = F.when(b > 0, -0.5 * (b + root)).otherwise(-0.5 * (b - root))
-    t0 = q / F.when(a != 0, a)
-    t1 = F.when(q != 0, c / F.when(q != 0, q)).otherwise(t0)
+    m = hold(origin.minus(center))
+    a, b, c = hold(direction.dot(direction)), hold(2.0 * direction.dot(m)), hold(m.dot(m) - radius * radius)
+    disc = hold(b * b - 4.0 * a * c)
+    root = hold(F.sqrt(F.when(disc >= 0, disc)))
+    q = hold(F.when(b > 0, -0.5 * (b + root)).otherwise(-0.5 * (b - root)))
+    t0 = hold(q / F.when(a != 0, a))
+    t1 = hold(F.when(q != 0, c / F.when(q != 0, q)).otherwise(t0))
     lo, hi = F.least(t0, t1), F.greatest(t0, t1)
-    t = F.when(lo >= 0, lo).when(hi >= 0, hi)
+    t = hold(F.when(lo >= 0, lo).when(hi >= 0, hi))
     p = origin.plus(direction.times(t))
     return {"t": t, "x": p.x, "y": p.y, "z": p.z}
 
 
-def ray_triangle(origin: Vec3, direction: Vec3, p0: Vec3, p1: Vec3, p2: Vec3) -> dict[str, Column]:
+def ray_triangle(origin: Vec3, direction: Vec3, p0: Vec3, p1: Vec3, p2: Vec3, hold=_same) -> dict[str, Column]:
     """Distance, point and barycentric u, v, w of a hit on either face, or nulls (Moeller and Trumbore)."""
-    e1, e2 = p1.minus(p0), p2.minus(p0)
-    h = direction.cross(e2)
-    det = e1.dot(h)
+    origin, direction = hold(origin), hold(direction)
+    e1, e2 = hold(p1.minus(p0)), hold(p2.minus(p0))
+    h = hold(direction.cross(e2))
+    det = hold(e1.dot(h))
     good = F.abs(det) > EPS
-    inv = F.lit(1.0) / F.when(good, det)
-    s = origin.minus(p0)
-    u = inv * s.dot(h)
-    k = s.cross(e1)
-    v = inv * direction.dot(k)
-    t = inv * e2.dot(k)
+    inv = hold(F.lit(1.0) / F.when(good, det))
+    s = hold(origin.minus(p0))
+    u = hold(inv * s.dot(h))
+    k = hold(s.cross(e1))
+    v = hold(inv * direction.dot(k))
+    t = hold(inv * e2.dot(k))
     hit = good & (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (t > EPS)
+    hit = hold(hit)
     p = origin.plus(direction.times(t))
     return {"distance": F.when(hit, t), "x": F.when(hit, p.x), "y": F.when(hit, p.y), "z": F.when(hit, p.z), "u": F.when(hit, u), "v": F.when(hit, v), "w": F.when(hit, 1.0 - u - v)}

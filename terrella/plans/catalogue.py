@@ -1,4 +1,6 @@
 """The catalogue of queries over the engine's own operators, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from terrella.plans import scalar_queries
+
+QUERIES: dict = {**scalar_queries.QUERIES}
+ORACLE_SQL: dict = {**scalar_queries.ORACLE_SQL}
