@@ -38,7 +38,7 @@ def sign(x: Column) -> Column:
 
 def clamp(x: Column, lo, hi) -> Column:
     lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
-    return F.least(F.greatest(x, lo), hi)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))  # greatest() and least() skip nulls
 
 
 def wrap(x: Column, lo: float, hi: float) -> Column:

@@ -162,36 +162,44 @@ def unshared(tris: DataFrame, verts: DataFrame, keys: list[str]) -> DataFrame:
 
 # Triangle subdivision ---------------------------------------------------------------------------------------------
 
-_TRI = "path bigint, i0 int, x0 int, y0 int, i1 int, x1 int, y1 int, i2 int, x2 int, y2 int"
+def _halved(spark: SparkSession, level: int, s: int) -> DataFrame:
+    """All triangles of a level: path (base 4, a digit a level) and corners, folded from the path's digits."""
+    start = f"named_struct('x0', 0, 'y0', {s}, 'x1', {-s}, 'y1', {-s}, 'x2', {s}, 'y2', {-s})"
+    half = lambda a, b: (f"(t.x{a} + t.x{b}) DIV 2", f"(t.y{a} + t.y{b}) DIV 2")
+    own = lambda a: (f"t.x{a}", f"t.y{a}")
+    a, b, c = half(0, 1), half(1, 2), half(2, 0)
+    kids = [(own(0), a, c), (a, own(1), b), (c, b, own(2)), (b, c, a)]
+    kid = lambda k: "named_struct(" + ", ".join(f"'x{i}', cast({x} AS int), 'y{i}', cast({y} AS int)" for i, (x, y) in enumerate(k)) + ")"
+    step = "CASE shiftright(id, 2 * j) & 3 " + " ".join(f"WHEN {n} THEN {kid(k)}" for n, k in enumerate(kids[:3])) + f" ELSE {kid(kids[3])} END"
+    digits = f"sequence({level - 1}, 0, -1)" if level else "cast(array() AS array<int>)"
+    return spark.range(4**level).select(F.col("id").alias("path"), F.expr(f"aggregate({digits}, {start}, (t, j) -> {step})").alias("t")).select("path", "t.*")
 
 
 def subdivided(spark: SparkSession, level: int) -> tuple[DataFrame, DataFrame]:
     """A triangle halved ``level`` times: tris (path, corners) and deps (idx and the edge lo, hi that it halves).
 
     Vertices are numbered level by level in the order in which a walk over the triangles first meets them, so the table
-    of a level starts with that of the level before.  Coordinates are whole numbers (2**(level + 1) to the apex).  A
-    level is one pass: midpoints are found, numbered by their first meeting, and joined back.
+    of a level starts with that of the level before.  Coordinates are whole numbers (2**(level + 1) to the apex).  All
+    levels' midpoints are found and numbered at once, and the corners of the last level are looked up by their place.
+    The numbering is one sorted pass over the table's vertices, whose count the level fixes.
     """
     s = 1 << (level + 1)
-    tris = spark.createDataFrame([(0, 0, 0, s, 1, -s, -s, 2, s, -s)], _TRI)
-    deps = spark.createDataFrame([(0, -1, -1), (1, -1, -1), (2, -1, -1)], "idx int, lo int, hi int")
-    n = 3
-    for k in range(level):
-        mids = F.array(*(F.struct((F.col("path") * 3 + j).alias("at"), ((F.col(f"x{a}") + F.col(f"x{b}")) / 2).cast("int").alias("x"), ((F.col(f"y{a}") + F.col(f"y{b}")) / 2).cast("int").alias("y"), F.least(f"i{a}", f"i{b}").alias("lo"), F.greatest(f"i{a}", f"i{b}").alias("hi")) for j, (a, b) in enumerate(((0, 1), (1, 2), (2, 0)))))
-        met = tris.select(F.inline(mids))
-        first = met.groupBy("x", "y").agg(F.min("at").alias("at"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
-        numbered = first.withColumn("idx", (F.row_number().over(Window.orderBy("at")) + (n - 1)).cast("int"))
-        deps = deps.unionByName(numbered.select("idx", "lo", "hi"))
-        own = met.join(numbered.select("x", "y", "idx"), ["x", "y"]).withColumn("path", F.floor(F.col("at") / 3)).withColumn("j", F.col("at") % 3)
-        wide = own.groupBy("path").agg(*(F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}_{j}") for j in range(3) for c in ("idx", "x", "y")))
-        t = tris.join(wide, "path")
-        v = lambda i: [f"i{i}", f"x{i}", f"y{i}"]
-        m = lambda j: [f"idx_{j}", f"x_{j}", f"y_{j}"]
-        kids = [(v(0), m(0), m(2)), (m(0), v(1), m(1)), (m(2), m(1), v(2)), (m(1), m(2), m(0))]
-        rows = F.array(*(F.struct((F.col("path") * 4 + q).alias("path"), *(F.col(c).alias(f"{a}{i}") for i, corner in enumerate(kid) for a, c in zip("ixy", corner, strict=True))) for q, kid in enumerate(kids)))
-        tris = t.select(F.inline(rows))
-        n += 3 * (1 << k) * ((1 << k) + 1) // 2
-    return tris, deps
+    roots = spark.createDataFrame([(0, 0, s), (1, -s, -s), (2, s, -s)], "idx int, x int, y int")
+    numbers, deps = roots, roots.select("idx", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    if level:
+        met = None
+        for k in range(level):
+            mids = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("path") * 3 + j).alias("at"), F.expr(f"(x{a} + x{b}) DIV 2").cast("int").alias("x"), F.expr(f"(y{a} + y{b}) DIV 2").cast("int").alias("y"), *(F.col(f"{c}{e}").alias(f"{c}{n}") for n, e in (("a", a), ("b", b)) for c in "xy")) for j, (a, b) in enumerate(((0, 1), (1, 2), (2, 0)))))
+            one = _halved(spark, k, s).select(F.inline(mids))
+            met = one if met is None else met.unionByName(one)
+        first = met.groupBy("x", "y").agg(F.min(F.struct("k", "at", "xa", "ya", "xb", "yb")).alias("f"))
+        own = first.select((F.row_number().over(Window.orderBy("f.k", "f.at")) + 2).cast("int").alias("idx"), "x", "y", "f.xa", "f.ya", "f.xb", "f.yb")
+        numbers = roots.unionByName(own.select("idx", "x", "y"))
+        end = lambda n: numbers.select(F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"), F.col("idx").alias(f"i{n}"))
+        deps = deps.unionByName(own.join(end("a"), ["xa", "ya"]).join(end("b"), ["xb", "yb"]).select("idx", F.least("ia", "ib").alias("lo"), F.greatest("ia", "ib").alias("hi")))
+    corners = _halved(spark, level, s).select("path", F.posexplode(F.array(*(F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(3)))).alias("k", "c")).select("path", "k", "c.x", "c.y")
+    named = corners.join(numbers, ["x", "y"]).groupBy("path").agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{a}{k}") for k in range(3) for c, a in (("idx", "i"), ("x", "x"), ("y", "y"))))
+    return named, deps
 
 
 def row_bins(tris: DataFrame) -> DataFrame:

@@ -125,7 +125,8 @@ def burn(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
     """
     spots = rectangles.filter("r0 < r1 AND c0 < c1").withColumn("row", F.explode(F.sequence(F.col("r0"), F.col("r1") - 1))).withColumn("col", F.explode(F.sequence(F.col("c0"), F.col("c1") - 1)))
     best = spots.groupBy("level", "tile_offset", "row", "col").agg(F.max(F.struct("rank", "value")).alias("top"))
-    clamped = F.least(F.greatest(F.col("top.value"), F.lit(-32768)), F.lit(32767)).cast("int")
+    value = F.col("top.value")
+    clamped = F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(-32768)), F.lit(32767))).cast("int")  # greatest() skips nulls
     return pixels.join(best, ["level", "tile_offset", "row", "col"], "left").withColumn("height", F.coalesce(clamped, F.col("height"))).drop("top")
 
 
