@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrella.llm.common import hot_keys, release, salted, scratch, tune, written
+from terrella.llm.common import hot_keys, salted, scratch, tune, written
 
 UNIT = 576
 PAD = 255
@@ -147,7 +147,6 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     # A task that met the digest in another object first has no row for that place, so any equal chunk may stand in.
     kept = packed.select("digest", "packed").join(first, "digest").groupBy("digest").agg(F.first("packed").alias("packed"), F.first("refs").alias("refs"))
     kept.write.option("compression", "uncompressed").parquet(f"{path}/chunks")
-    release(spark)
 
 
 def _assembled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +196,6 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = scratch(spark, "media")
     store(docs, path, id_col, text_col)
     objects = written(read(spark, path), "objects")
-    release(spark)
     rows = _source(docs, id_col, text_col).mapInArrow(_rows, "doc_id bigint, n_bytes bigint, media binary")
     held = written(rows, "rows")
     counts = held.groupBy("media").count()
