@@ -378,6 +378,13 @@ def t10_strips(spark, sf_dir):
     return M.index_tables(spark, 3, strips=True)
 
 
+@query("WITH v(winding, k) AS (VALUES ('full', 0), ('missing0', 1), ('missing2', 2), ('missing20', 3)) SELECT 0 AS level, winding, 6::BIGINT AS n, (6 * k)::BIGINT AS start FROM v UNION ALL SELECT 1, winding, CASE k WHEN 0 THEN 18 WHEN 3 THEN 8 ELSE 14 END, 24 + CASE k WHEN 0 THEN 0 WHEN 1 THEN 18 WHEN 2 THEN 32 ELSE 46 END FROM v")
+def t12_ranges(spark, sf_dir):
+    """Where each table begins when the line lists of levels 0 and 1 are laid end to end."""
+    t = M.table_ranges(M.index_tables(spark, 1))
+    return t.select("level", "winding", "n", F.col("start").cast("long").alias("start"))
+
+
 # Maintenance ------------------------------------------------------------------------------------------------------
 
 
