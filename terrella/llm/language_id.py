@@ -157,14 +157,15 @@ def _fit(rows: list, epochs: int, rate: float, seed: int) -> Model:
     return Model(languages, table, b.astype(np.float64), best[1], min(reject, 0.99))
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, max_languages: int = 400, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, max_languages: int = 400, max_rows: int = 12_000, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
     """Fit a model on rows where ``learn`` is true: at most about ``per_language`` rows for each of the
-    ``max_languages`` most frequent languages, chosen by a hash of the id; a fifth of them calibrates."""
+    ``max_languages`` most frequent languages and ``max_rows`` in all, chosen by a hash of the id; a fifth calibrates."""
     tune(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     counts = docs.filter(learn & docs[lang_col].isNotNull()).groupBy(docs[lang_col].alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not counts:
         return _fit([], epochs, rate, seed)
+    per_language = min(per_language, max(1, max_rows // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
     h = F.xxhash64(F.lit(seed), "id")
     chosen = rows.filter(F.pmod(h, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).select("lang", "text", (F.pmod(F.shiftright(h, 21), F.lit(5)) == 0).alias("test"), "id")
