@@ -2,7 +2,8 @@
 
 A payload of 8-bit samples becomes a media object (a binary PGM image, 576 samples a row).  A rolling gear hash over the
 object's bytes cuts it into chunks at places that depend on the content alone, so objects that share a passage share
-chunks.  The chunk store has each chunk once, compressed, under its BLAKE2b digest: Spark joins the digests of all
+chunks.  The chunk store has each chunk once, compressed with a dictionary (trained on a bounded sample
+of the texts and kept with the store), under its BLAKE2b digest: Spark joins the digests of all
 chunks with the first place of each and keeps that one.  A manifest lists an object's digests in order.  Reading joins
 manifests with the store, puts the chunks of each object in order, checks the SHA-256 of the result against the
 manifest, and computes features from the samples that were read back.
@@ -17,8 +18,10 @@ result; an empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +29,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrella.llm.common import hot_keys, salted, scratch, tune, written
+from terrella.llm.common import hot_keys, salted, scratch, tidy, tune, written
 
 UNIT = 576
 PAD = 255
-MIN_CHUNK, MAX_CHUNK = 1024, 16384
-#: A cut is expected each 2**12 bytes beyond the least size.
-CUT_BITS = 12
-LEVEL = 9
+MIN_CHUNK, MAX_CHUNK = 4096, 65536
+#: A cut is expected each 2**13 bytes beyond the least size.
+CUT_BITS = 13
+LEVEL = 15
+#: Texts that the compressor's dictionary is trained on, and its size in bytes.
+SAMPLE, DICTIONARY = 1500, 112_640
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, np.uint32)
 _CUT = np.uint32(((1 << CUT_BITS) - 1) << (32 - CUT_BITS))
 
@@ -96,11 +101,32 @@ def _rows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def _chunker(with_bytes: bool):
-    """Chunk rows of the objects that a task sees for the first time; with bytes, of chunks it sees for the first time."""
+def _dictionary(src: DataFrame) -> bytes:
+    """A dictionary for short chunks, from about SAMPLE texts chosen by a hash of the id; empty where there are too few."""
+    total = src.count()
+    near = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_003)) < min(1.0, SAMPLE / max(1, total)) * 1_000_003
+    texts = sorted(bytes(r["text"]) for r in src.filter(near).limit(2 * SAMPLE).collect())
+    pieces = [m[a:b] for m in map(media_of, texts) for a, b in chunks(m)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes() if len(pieces) >= 200 else b""
+    except zstandard.ZstdError:  # the sample is too small or too uniform for one
+        return b""
+
+
+def _packer(dictionary: bytes) -> zstandard.ZstdCompressor:
+    own = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    return zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_dict_id=False, **own)
+
+
+def _chunker(dictionary: bytes | None):
+    """Chunk rows of the objects that a task sees for the first time; with bytes, of chunks it sees for the first time.
+
+    Without a dictionary (None) the rows have no bytes.
+    """
+    with_bytes = dictionary is not None
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=False)
+        packer = _packer(dictionary) if with_bytes else None
         objects: set[bytes] = set()
         sent: set[bytes] = set()
         for batch in stream:
@@ -134,60 +160,98 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``manifests`` (media, seq, digest) and ``chunks`` (digest, packed, refs) of all texts under ``path``."""
+    """Write ``manifests`` (media, seq, digest), ``chunks`` (digest, packed, refs) and ``dictionary`` under ``path``.
+
+    The chunks are bucketed by digest, so that a later join with manifests moves the manifests alone.
+    """
     spark = docs.sparkSession
     tune(spark)
     src = _source(docs, id_col, text_col)
-    spark_rows = src.mapInArrow(_chunker(False), "media binary, seq int, digest binary")
-    spark_rows.groupBy("media", "seq").agg(F.min("digest").alias("digest")).write.option("compression", "zstd").parquet(f"{path}/manifests")
-    manifests = spark.read.parquet(f"{path}/manifests")
-    # The first place of each digest is the one that is stored.
-    first = manifests.groupBy("digest").agg(F.min(F.struct("media", "seq")).alias("first"), F.count("*").alias("refs"))
-    packed = src.mapInArrow(_chunker(True), "media binary, seq int, digest binary, packed binary")
-    # A task that met the digest in another object first has no row for that place, so any equal chunk may stand in.
-    kept = packed.select("digest", "packed").join(first, "digest").groupBy("digest").agg(F.first("packed").alias("packed"), F.first("refs").alias("refs"))
-    kept.write.option("compression", "uncompressed").parquet(f"{path}/chunks")
-
-
-def _assembled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    dictionary = _dictionary(src)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.createDataFrame([(dictionary, buckets)], "dictionary binary, buckets int").coalesce(1).write.parquet(f"{path}/dictionary")
+    with tidy(spark):
+        rows = src.mapInArrow(_chunker(None), "media binary, seq int, digest binary")
+        rows.groupBy("media", "seq").agg(F.min("digest").alias("digest")).write.option("compression", "zstd").parquet(f"{path}/manifests")
+        manifests = spark.read.parquet(f"{path}/manifests")
+        # The first place of each digest is the one that is stored.
+        first = manifests.groupBy("digest").agg(F.min(F.struct("media", "seq")).alias("first"), F.count("*").alias("refs"))
+        packed = src.mapInArrow(_chunker(dictionary), "media binary, seq int, digest binary, packed binary")
+        # A task that met the digest in another object first has no row for that place, so any equal chunk may stand in.
+        kept = packed.select("digest", "packed").join(first, "digest").groupBy("digest").agg(F.first("packed").alias("packed"), F.first("refs").alias("refs"))
+        table = f"terrella_{uuid.uuid4().hex}"
+        kept.write.option("compression", "uncompressed").option("path", f"{path}/chunks").bucketBy(buckets, "digest").format("parquet").saveAsTable(table)
+        spark.sql(f"DROP TABLE {table}")  # the files stay: the table is only a name for them
+
+
+@contextmanager
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> Iterator[DataFrame]:
+    """The chunks of a store as a table whose buckets Spark knows of."""
+    table = f"terrella_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} (digest BINARY, packed BINARY, refs BIGINT) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}/chunks'")
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
+def _assembler(dictionary: bytes):
     """Objects from their chunks, which come sorted by object and place."""
-    unpacker = zstandard.ZstdDecompressor()
-    key, parts = None, []
-    done: list[tuple] = []
-
-    def finish() -> None:
-        media = b"".join(parts)
-        if hashlib.sha256(media).digest() != key:
-            raise ValueError(f"the chunks of object {key.hex()} do not give it back")
-        payload = payload_of(media)
-        done.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), features(payload)))
-
-    def flush() -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        out = pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], names=["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
-        done.clear()
-        return out
 
-    for batch in stream:
-        for media, packed in zip(batch.column("media").to_pylist(), batch.column("packed"), strict=True):
-            if media != key:
-                if key is not None:
-                    finish()
-                key, parts = media, []
-            parts.append(unpacker.decompress(packed.as_py()))
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        unpacker = zstandard.ZstdDecompressor(**own)
+        key, parts = None, []
+        done: list[tuple] = []
+
+        def finish() -> None:
+            media = b"".join(parts)
+            if hashlib.sha256(media).digest() != key:
+                raise ValueError(f"the chunks of object {key.hex()} do not give it back")
+            payload = payload_of(media)
+            done.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), features(payload)))
+
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            out = pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], names=["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
+            done.clear()
+            return out
+
+        for batch in stream:
+            for media, packed in zip(batch.column("media").to_pylist(), batch.column("packed"), strict=True):
+                if media != key:
+                    if key is not None:
+                        finish()
+                    key, parts = media, []
+                parts.append(unpacker.decompress(packed.as_py()))
+            yield flush()
+        if key is not None:
+            finish()
         yield flush()
-    if key is not None:
-        finish()
-    yield flush()
+
+    return run
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """What is read back of each object of a store: sizes, digests and features."""
-    manifests, pieces = spark.read.parquet(f"{path}/manifests"), spark.read.parquet(f"{path}/chunks")
+    """What is read back of each object of a store: sizes, digests and features; written beside the store.
+
+    Chunks that at least a thousandth of all places refer to (so at most 1000 chunks of at most 64 KiB) are broadcast to
+    the manifests; the others meet them bucket by bucket, and the bytes move once, to their objects.
+    """
+    manifests = spark.read.parquet(f"{path}/manifests")
+    head = spark.read.parquet(f"{path}/dictionary").first()
     total = manifests.count()
-    joined = salted(manifests, pieces.select("digest", "packed"), ["digest"], hot_keys(pieces, ["digest"], total, "refs"), F.xxhash64("media"), "left")
-    ordered = joined.select("media", "seq", "packed").repartition("media").sortWithinPartitions("media", "seq")
-    return ordered.select("media", "packed").mapInArrow(_assembled, "media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string")
+    with _bucketed(spark, path, head["buckets"]) as pieces:
+        hot = F.broadcast(hot_keys(pieces.select("digest", "refs"), ["digest"], total, "refs").select("digest"))
+        shared = F.broadcast(pieces.join(hot, "digest").select("digest", F.col("packed").alias("shared")))
+        known = manifests.join(shared, "digest", "left")
+        # Places that are served go on under a digest that no chunk has, each another one.
+        key = F.when(F.col("shared").isNull(), F.col("digest")).otherwise(F.unhex(F.md5(F.concat(F.col("media"), F.col("seq").cast("string").cast("binary")))))
+        wanted = known.select("media", "seq", "shared", key.alias("key"))
+        joined = wanted.join(pieces.select("digest", "packed"), F.col("key") == F.col("digest"), "left")
+        ordered = joined.select("media", "seq", F.coalesce("shared", "packed").alias("packed")).repartition("media").sortWithinPartitions("media", "seq")
+        made = ordered.select("media", "packed").mapInArrow(_assembler(bytes(head["dictionary"])), "media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string")
+        return written(made, "objects")
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +259,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     path = scratch(spark, "media")
     store(docs, path, id_col, text_col)
-    objects = written(read(spark, path), "objects")
+    objects = read(spark, path)
     rows = _source(docs, id_col, text_col).mapInArrow(_rows, "doc_id bigint, n_bytes bigint, media binary")
     held = written(rows, "rows")
     counts = held.groupBy("media").count()
