@@ -26,6 +26,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 PIECE_COST = 4.0
 #: Documents whose words share one lattice.
-GROUP = 128
-GROUP_CHARS = 1_500_000
+GROUP = 384
+GROUP_CHARS = 2_000_000
+_SPREAD = 0x9E3779B97F4A7C15
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _SWAP = str.maketrans({" ": SPACE, SPACE: " "})
 
@@ -50,11 +52,12 @@ class Vocabulary:
     pieces: list[str]
     weights: np.ndarray
     kinds: np.ndarray  # 0 piece, 1 byte, 2 control or unknown
-    keys: np.ndarray = None  # trie: node << 21 | code point, sorted
+    keys: np.ndarray = None  # trie: node << 21 | code point
     nexts: np.ndarray = None
+    shift: int = 0
     ids: np.ndarray = None  # piece at a trie node, or -1
     bytes_at: np.ndarray = None
-    raw: list[bytes] | None = None
+    raw: tuple | None = None  # bytes of all pieces, where each begins, and sizes
 
     def build(self) -> Vocabulary:
         trie: dict[int, int] = {}
@@ -71,8 +74,15 @@ class Vocabulary:
                 if node == len(at_node):
                     at_node.append(-1)
             at_node[node] = i
-        self.keys = np.array(sorted(trie), np.int64)
-        self.nexts = np.array([trie[k] for k in self.keys.tolist()], np.int64)
+        # An open-addressing table of the transitions, with at most a quarter of its places taken.
+        self.shift = 64 - (4 * len(trie)).bit_length()
+        size = 1 << (64 - self.shift)
+        self.keys, self.nexts = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        for key, node in trie.items():
+            at = (key * _SPREAD & (1 << 64) - 1) >> self.shift
+            while self.keys[at] >= 0:
+                at = (at + 1) & (size - 1)
+            self.keys[at], self.nexts[at] = key, node
         self.ids = np.array(at_node, np.int64)
         self.bytes_at = np.full(256, -1, np.int64)
         for i, piece in enumerate(self.pieces):
@@ -82,11 +92,32 @@ class Vocabulary:
             raise ValueError("the vocabulary has no byte pieces")
         return self
 
+    def step(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which transitions exist, and the nodes those lead to."""
+        at = ((key.view(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(self.shift)).astype(np.int64)
+        have = self.keys[at]
+        left = np.flatnonzero((have != key) & (have >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            have[left] = self.keys[at[left]]
+            left = left[(have[left] != key[left]) & (have[left] >= 0)]
+        ok = have == key
+        return ok, self.nexts[at[ok]]
+
     def decode(self, ids) -> str:
         """The text of a sequence of piece ids."""
+        return self.decoded(np.asarray(ids, np.int64)).decode("utf-8", "replace")
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 of :meth:`decode`."""
         if self.raw is None:
-            self.raw = [bytes([int(p[3:5], 16)]) if kind == 1 else b"" if kind else p.replace(SPACE, " ").encode() for p, kind in zip(self.pieces, self.kinds.tolist(), strict=True)]
-        return b"".join([self.raw[i] for i in ids])[1:].decode("utf-8", "replace")
+            raw = [bytes([int(p[3:5], 16)]) if kind == 1 else b"" if kind else p.replace(SPACE, " ").encode() for p, kind in zip(self.pieces, self.kinds.tolist(), strict=True)]
+            sizes = np.array([len(r) for r in raw], np.int64)
+            self.raw = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes
+        flat, starts, sizes = self.raw
+        n = sizes[ids]
+        ends = np.cumsum(n)
+        return flat[np.arange(ends[-1] if len(ids) else 0) + np.repeat(starts[ids] - ends + n, n)].tobytes()[1:]
 
 
 def load(path: str = DEFAULT_MODEL, piece_cost: float = PIECE_COST) -> Vocabulary:
@@ -119,9 +150,8 @@ class Lattice:
         single = np.zeros(n, bool)
         while len(at):
             key = node << 21 | points[at + depth]
-            k = np.minimum(np.searchsorted(vocab.keys, key), len(vocab.keys) - 1)
-            ok = vocab.keys[k] == key
-            at, node = at[ok], vocab.nexts[k[ok]]
+            ok, node = vocab.step(key)
+            at = at[ok]
             depth += 1
             ids = vocab.ids[node]
             hit = ids >= 0
@@ -131,47 +161,50 @@ class Lattice:
             alive = at + depth < end_of[at]
             at, node = at[alive], node[alive]
         src, dst, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst, piece))
-        weight = vocab.weights[piece]
         bare = np.flatnonzero(~single)
         chars = {c: c.translate(_SWAP).encode("utf-8", "replace") for c in set(map(text.__getitem__, bare.tolist()))}
-        raws = [chars[text[p]] for p in bare.tolist()]
-        # Pieces of an edge: one, or the bytes of a bare character.
-        flat = np.concatenate([piece, vocab.bytes_at[np.frombuffer(b"".join(raws), np.uint8)]])
-        lens = np.concatenate([np.ones(len(piece), np.int64), np.array([len(r) for r in raws], np.int64)])
-        offs = np.concatenate([np.arange(len(piece)), len(piece) + np.concatenate([[0], np.cumsum(lens[len(piece) :])])[:-1].astype(np.int64)])
-        byte_weight = vocab.weights[vocab.bytes_at[0]]
+        self.bare = [vocab.bytes_at[np.frombuffer(chars[text[p]], np.uint8)] for p in bare.tolist()]
+        sizes = np.array([len(x) for x in self.bare], np.int64)
+        # A bare character is one edge; its number, -1 - k, says which.
+        piece = np.concatenate([piece, -1 - np.arange(len(bare))])
+        weight = np.concatenate([vocab.weights[piece[: len(src)]], sizes * vocab.weights[vocab.bytes_at[0]]])
         src, dst = np.concatenate([src, bare]), np.concatenate([dst, bare + 1])
-        weight = np.concatenate([weight, lens[len(piece) :] * byte_weight])
-        # Edges by the distance of their start from the word's end: sums of later places come first.
-        back = end_of[src] - src if n else src
-        order = np.lexsort((dst, src, back))
+        # Edges by the distance of their start from the word's end, so that sums of later places come first; the edges
+        # of a place stay together.
+        back = end_of[src] - src
+        order = np.argsort((back * (n + 1) + src) * 64 + np.minimum(dst - src, 63))
         src, dst, weight, back = src[order], dst[order], weight[order], back[order]
-        self.flat, self.lens, self.offs = flat, lens[order], offs[order]
-        beta = np.zeros(n + 1)
-        step = np.concatenate([[0], np.flatnonzero(np.diff(back)) + 1, [len(back)]])
-        end_flag = dst == end_of[src] if n else np.zeros(0, bool)
-        total = np.empty(len(src))
-        for a, b in zip(step[:-1].tolist(), step[1:].tolist(), strict=True):
-            if a == b:
-                continue
-            v = weight[a:b] + np.where(end_flag[a:b], 0.0, beta[dst[a:b] % max(n, 1)])
-            first = np.flatnonzero(np.diff(src[a:b], prepend=-1))
+        self.src, self.dst, self.piece, self.end_flag = src, dst, piece[order], dst == end_of[src]
+        self.first, self.count, self.slot, self.best = (np.zeros(n, np.int64) for _ in range(4))
+        self.top = np.zeros(n)
+        if not n:
+            self.p = self.cum = np.zeros(0)
+            return
+        places = np.flatnonzero(np.diff(src, prepend=-1))  # where each place's edges begin
+        count = np.diff(np.append(places, len(src)))
+        at = src[places]
+        self.first[at], self.count[at], self.slot[at] = places, count, np.arange(len(places))
+        beta, p = np.zeros(n + 1), np.empty(len(src))
+        bounds = np.append(np.flatnonzero(np.diff(back, prepend=-1)), len(src))
+        spot = np.searchsorted(places, bounds)
+        for a, b, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), spot[:-1].tolist(), spot[1:].tolist(), strict=True):
+            v = weight[a:b] + np.where(self.end_flag[a:b], 0.0, beta[dst[a:b]])
+            first, times = places[i:j] - a, count[i:j]
             top = np.maximum.reduceat(v, first)
-            count = np.diff(np.append(first, b - a))
-            beta[src[a:b][first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count)), first))
-            total[a:b] = v
-        order = np.lexsort((dst, src))
-        self.src, self.dst, self.end_flag = src[order], dst[order], end_flag[order]
-        self.lens, self.offs = self.lens[order], self.offs[order]
-        self.logp = np.minimum(total[order] - beta[self.src], 0.0)
-        self.p = np.exp(self.logp)
-        self.first = np.searchsorted(self.src, np.arange(n + 1))
-        run = np.cumsum(self.p)
-        before = np.concatenate([[0.0], run])[self.first[self.src]]
-        inside = np.minimum((run - before), 1.0)
-        last = self.first[self.src + 1] - 1 == np.arange(len(self.src))
-        inside[last] = 1.0
-        self.cum = self.src + inside
+            e = np.exp(v - np.repeat(top, times))
+            sums = np.add.reduceat(e, first)
+            beta[at[i:j]] = top + np.log(sums)
+            p[a:b] = e / np.repeat(sums, times)
+        # Most draws end with a place's likeliest edge; the others are found among cumulative sums without it.
+        top = np.maximum.reduceat(p, places)
+        best = np.flatnonzero(p == np.repeat(top, count))
+        best = best[np.flatnonzero(np.diff(src[best], prepend=-1))]
+        self.p, self.best[at], self.top[at] = p, best, top
+        rest = p.copy()
+        rest[best] = 0.0
+        run = np.cumsum(rest)
+        before = np.concatenate([[0.0], run])[places]
+        self.cum = np.repeat(np.arange(len(places)), count) + np.minimum(run - np.repeat(before, count), 0.999999999)
 
     def walk(self, at: np.ndarray, done: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Random paths from places ``at`` (where not ``done``) to their words' ends: edges and whose they are, in order."""
@@ -179,7 +212,13 @@ class Lattice:
         at = at[who]
         owners, edges = [], []
         while len(who):
-            e = np.minimum(np.searchsorted(self.cum, at + rng.random(len(at)), "right"), self.first[at + 1] - 1)
+            draw = rng.random(len(at))
+            e = self.best[at]
+            far = np.flatnonzero(draw >= self.top[at])
+            if len(far):
+                spot = at[far]
+                found = np.searchsorted(self.cum, self.slot[spot] + (draw[far] - self.top[spot]), "right")
+                e[far] = np.minimum(np.maximum(found, self.first[spot]), self.first[spot] + self.count[spot] - 1)
             owners.append(who), edges.append(e)
             more = ~self.end_flag[e]
             who, at = who[more], self.dst[e][more]
@@ -190,15 +229,19 @@ class Lattice:
         return edge[order], owner[order]
 
     def pieces(self, edges: np.ndarray) -> np.ndarray:
-        lens = self.lens[edges]
-        if (lens == 1).all():
-            return self.flat[self.offs[edges]]
-        ends = np.cumsum(lens)
-        return self.flat[np.arange(ends[-1]) - np.repeat(ends - lens, lens) + np.repeat(self.offs[edges], lens)]
+        ids = self.piece[edges]
+        bare = np.flatnonzero(ids < 0)
+        if not len(bare):
+            return ids
+        parts, done = [], 0
+        for k in bare.tolist():
+            parts += [ids[done:k], self.bare[-1 - ids[k]]]
+            done = k + 1
+        return np.concatenate([*parts, ids[done:]])
 
 
 def _log_exponential(rng: np.random.Generator, n: int | None = None):
-    return np.log(-np.log1p(-rng.random(n)))
+    return np.log(rng.standard_exponential(n))
 
 
 def top_k(lattice: Lattice, types: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float, float]]:
@@ -224,21 +267,21 @@ def top_k(lattice: Lattice, types: np.ndarray, k: int, rng: np.random.Generator)
         if len(banned):  # the first free edge is another one than those
             o = int(np.flatnonzero(~done)[0])
             place = at[o]
-            choices = np.arange(lattice.first[place], lattice.first[place + 1])
-            choices = choices[~np.isin(choices, banned)]
+            choices = np.arange(lattice.first[place], lattice.first[place] + lattice.count[place])
+            choices = choices[(choices[:, None] != banned).all(1)]
             share = np.cumsum(lattice.p[choices])
             e = choices[min(int(np.searchsorted(share, rng.random() * share[-1], "right")), len(choices) - 1)]
             edges, own = np.append(edges, e), np.append(own, o)
             done[o], at[o] = lattice.end_flag[e], lattice.dst[e]
         more, whose = lattice.walk(at, done, rng)
         edges, own = np.concatenate([edges, more]), np.concatenate([own, whose])
-        logp = lattice.logp[edges]
+        logp = np.log(lattice.p[edges])
         before = np.concatenate([[0.0], np.cumsum(logp)])
         found.append((edges, float(before[-1]), -time))
         # What is left of the set: paths that first differ at edge t, t + 1, ...
         if len(edges) > t:
             rest = 1.0 - lattice.p[edges[t:]]
-            sizes = lattice.first[lattice.src[edges[t:]] + 1] - lattice.first[lattice.src[edges[t:]]]
+            sizes = lattice.count[lattice.src[edges[t:]]]
             open_ = sizes > 1
             if len(banned):
                 rest[0] -= lattice.p[banned].sum()
@@ -262,11 +305,19 @@ def units_of(text: str) -> list[str]:
     return _UNITS.findall(SPACE + (text.translate(_SWAP) if SPACE in text else text.replace(" ", SPACE)))
 
 
+def _words(texts: list[str]) -> tuple[list[list[str]], bool]:
+    """The words of texts, without the U+2581 before each where single spaces alone part them in all of the texts."""
+    if any(SPACE in t or "  " in t or t[:1] == " " or t[-1:] == " " for t in texts):
+        return [units_of(t) for t in texts], False
+    return [t.split(" ") if t else [] for t in texts], True
+
+
 def sample_group(vocab: Vocabulary, rows: list[tuple], k: int, seed: int) -> Iterator[tuple]:
     """(row number, rank, ids, log-probability, perturbed, inclusion) for rows of (key, text)."""
-    index: dict[str, int] = {}
-    sequences = [np.array([index.setdefault(u, len(index)) for u in units_of(text or "")], np.int64) for _, text in rows]
-    lattice = Lattice(vocab, list(index))
+    words, bare = _words([text or "" for _, text in rows])
+    index = {u: i for i, u in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+    sequences = [np.fromiter(map(index.__getitem__, w), np.int64, len(w)) for w in words]
+    lattice = Lattice(vocab, [SPACE + u for u in index] if bare else list(index))
     for number, ((key, _), types) in enumerate(zip(rows, sequences, strict=True)):
         rng = np.random.Generator(np.random.Philox(key=xxhash.xxh3_128_intdigest(f"{seed}|{key}")))
         if not len(types):
@@ -304,7 +355,7 @@ def sample(docs: DataFrame, vocab: Vocabulary, k: int = 2, seed: int = 23, id_co
                 for number, rank, ids, phi, g, inclusion in sample_group(v, rows, k, seed):
                     lists.append(ids)
                     sizes.append(sizes[-1] + len(ids))
-                    exact = v.decode(ids.tolist()) == (texts[start + number] or "")
+                    exact = v.decoded(ids) == (texts[start + number] or "").encode("utf-8", "replace")
                     for col, x in zip(out, (keys[start + number], rank, phi, g, inclusion, exact), strict=True):
                         col.append(x)
                 flat = pa.array(np.concatenate(lists).astype(np.int32))
