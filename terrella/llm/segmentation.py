@@ -40,7 +40,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 PIECE_COST = 4.0
 #: Documents whose words share one lattice.
-GROUP = 384
+GROUP = 128
 GROUP_CHARS = 2_000_000
 _SPREAD = 0x9E3779B97F4A7C15
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
