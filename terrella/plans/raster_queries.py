@@ -220,6 +220,16 @@ def j09_pair_index(spark, sf_dir):
     return wide.select("level", F.posexplode(F.arrays_zip("o", "c")).alias("tile", "x")).select("level", "tile", F.col("x.o").cast("long").alias("off"), F.col("x.c").cast("long").alias("nbytes"))
 
 
+@query("""WITH ev AS (SELECT event_id, user_id % 40 AS parent_id, value AS asl FROM events), pa AS (SELECT n_nationkey::BIGINT AS parent_id FROM nation), ch AS (SELECT c_nationkey::BIGINT AS parent_id, c_custkey AS child_id, (c_custkey % 7)::DOUBLE AS off FROM customer)
+    SELECT parent_id, NULL::BIGINT AS child_id, asl FROM ev SEMI JOIN pa USING (parent_id) UNION ALL SELECT ev.parent_id, child_id, asl - off FROM ev SEMI JOIN pa USING (parent_id) JOIN ch USING (parent_id)""")
+def j10_event_children_whole(spark, sf_dir):
+    """The join of j08 over every event and every customer."""
+    ev = V.table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("parent_id"), F.col("value").alias("asl"))
+    parents = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("parent_id"))
+    kids = V.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("parent_id"), F.col("c_custkey").alias("child_id"), (F.col("c_custkey") % 7).cast("double").alias("offset"))
+    return T.events_to_children(ev, parents, kids)
+
+
 @query(f"WITH {V.LAYERS}, {V.RESIDENCY} SELECT level, sum(CASE WHEN state = 'Ready' THEN nbytes ELSE 0 END)::BIGINT AS bytes FROM rs GROUP BY level")
 def a01_resident_bytes(spark, sf_dir):
     return R.resident_bytes(V.residency(spark)).select("level", F.col("bytes").cast("long").alias("bytes"))
