@@ -33,9 +33,9 @@ from terrella.llm.common import hot_keys, salted, scratch, tidy, tune, written
 
 UNIT = 576
 PAD = 255
-MIN_CHUNK, MAX_CHUNK = 4096, 65536
-#: A cut is expected each 2**13 bytes beyond the least size.
-CUT_BITS = 13
+MIN_CHUNK, MAX_CHUNK = 256, 8192
+#: A cut is expected each 2**9 bytes beyond the least size.
+CUT_BITS = 9
 LEVEL = 15
 #: Texts that the compressor's dictionary is trained on, and its size in bytes.
 SAMPLE, DICTIONARY = 1500, 112_640
@@ -235,7 +235,7 @@ def _assembler(dictionary: bytes):
 def read(spark: SparkSession, path: str) -> DataFrame:
     """What is read back of each object of a store: sizes, digests and features; written beside the store.
 
-    Chunks that at least a thousandth of all places refer to (so at most 1000 chunks of at most 64 KiB) are broadcast to
+    Chunks that at least a thousandth of all places refer to (so at most 1000 chunks of at most 8 KiB) are broadcast to
     the manifests; the others meet them bucket by bucket, and the bytes move once, to their objects.
     """
     manifests = spark.read.parquet(f"{path}/manifests")
