@@ -6,7 +6,8 @@ sidebar, form, advert, notice, reader comments: by element, role, class or id).
 without link text, and nothing in such a part.  Weights are summed over sliding windows of ``WIDTH`` lines.  The text
 begins at the surge, the first line of weight in a window whose sum reaches the threshold, and ends at the dive, where
 the window sums fall to zero or the block container that holds the text ends; of several such stretches
-the heaviest one stays, together with further ones in the same container.  Where a page marks its article
+the heaviest one stays, together with further ones in the same container.  The threshold chooses that stretch and no more:
+before and behind it, every line of weight in its container stays, with the lines between them.  Where a page marks its article
 (``article``, ``main`` or ``role=main``), the stretches are looked for inside it and no threshold applies.
 
 Character references are decoded, white space inside a block becomes one space, ends are trimmed, and blocks are joined
@@ -28,6 +29,8 @@ from terrella.llm.common import tune
 WIDTH = 3
 #: Letters in a window that make a surge on a page without a marked article.
 SURGE = 80
+#: A stretch's container is the innermost one with this share of the stretch's weight.
+INSIDE = 0.9
 
 _SKIP = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "button", "head", "title"}
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -55,9 +58,10 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def lines_of(page: str) -> list[_Line]:
-    """The blocks of text of a page, in order."""
+def lines_of(page: str) -> tuple[list[_Line], list[int]]:
+    """The blocks of text of a page, in order, and the container around each container."""
     out: list[_Line] = []
+    around = [0]
     stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]  # name, skip, away, article, container
     parts: list[str] = []
     link = [0, 0]  # depth of links, characters in links
@@ -145,6 +149,7 @@ def lines_of(page: str) -> list[_Line]:
             away = True
         if name in _BLOCK and name not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dt", "dd", "ul", "ol", "dl", "blockquote", "figure", "figcaption", "pre", "table", "tbody"):
             boxes += 1
+            around.append(box)
             box = boxes
         stack.append((name, skip or name in _SKIP, away, article, box))
         if name == "a":
@@ -159,7 +164,7 @@ def lines_of(page: str) -> list[_Line]:
             pop_to(len(stack) - 1)
     pop_to(1)
     flush()
-    return out
+    return out, around
 
 
 def _stretches(lines: list[_Line], least: int) -> list[tuple[int, int, int]]:
@@ -182,9 +187,25 @@ def _stretches(lines: list[_Line], least: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _within(lines: list[_Line], around: list[int]) -> set[int]:
+    """The container of some lines and all containers in it.  A container's number is above that of the one around it."""
+    held = [0] * len(around)
+    for x in lines:
+        held[x.box] += x.weight
+    least = INSIDE * sum(held)
+    for box in range(len(around) - 1, 0, -1):
+        held[around[box]] += held[box]
+    top = max(box for box in range(len(around)) if held[box] >= least)
+    inner = {top}
+    for box in range(top + 1, len(around)):
+        if around[box] in inner:
+            inner.add(box)
+    return inner
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
-    lines = lines_of(page or "")
+    lines, around = lines_of(page or "")
     if not lines:
         return ""
     marked: dict[int, int] = {}
@@ -206,11 +227,14 @@ def extract(page: str | None) -> str:
         return ""
     top = max(found, key=lambda s: (s[0], -s[1]))
     boxes = {x.box for x in lines[top[1] : top[2]]}
-    kept = []
+    kept = set()
     for s in found:
         if s is top or any(x.box in boxes for x in lines[s[1] : s[2]]):
-            kept.extend(x.text for x in lines[s[1] : s[2]] if not x.away)
-    return "\n".join(kept)
+            kept.update(range(s[1], s[2]))
+    inner = _within(lines[top[1] : top[2]], around)
+    for _, a, b in _stretches(lines, 0):
+        kept.update(k for k in range(a, b) if lines[k].box in inner)
+    return "\n".join(lines[k].text for k in sorted(kept) if not lines[k].away)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", as_col: str = "__text") -> DataFrame:
