@@ -29,6 +29,8 @@ from terrella.llm.common import tune
 ORDERS = (1, 2, 3, 4)
 BITS = 15
 DIM = 16
+#: Rows that each language may have at least, however many languages there are.
+FEW = 20
 #: Code points of a text that are handled at once.
 SLICE = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -117,7 +119,7 @@ def _fit(rows: list, epochs: int, rate: float, seed: int) -> Model:
     L = len(languages)
     E = rng.normal(0, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     W, b = np.zeros((DIM, L), np.float32), np.zeros(L, np.float32)
-    weight = np.array([len(train) / (L * max(1, sum(d[2] == k for d in train))) for k in range(L)], np.float32)
+    weight = np.array([len(train) / (L * max(1, n)) for n in np.bincount([d[2] for d in train], minlength=L).tolist()], np.float32)
     steps, step = epochs * len(train), 0
     for _ in range(epochs):
         for k in rng.permutation(len(train)):
@@ -157,15 +159,15 @@ def _fit(rows: list, epochs: int, rate: float, seed: int) -> Model:
     return Model(languages, table, b.astype(np.float64), best[1], min(reject, 0.99))
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, max_languages: int = 400, max_rows: int = 12_000, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """Fit a model on rows where ``learn`` is true: at most about ``per_language`` rows for each of the
-    ``max_languages`` most frequent languages and ``max_rows`` in all, chosen by a hash of the id; a fifth calibrates."""
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, max_rows: int = 12_000, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
+    """Fit a model on rows where ``learn`` is true: at most about ``per_language`` rows for every language and
+    ``max_rows`` in all (or FEW a language, where that is more), chosen by a hash of the id; a fifth calibrates."""
     tune(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    counts = docs.filter(learn & docs[lang_col].isNotNull()).groupBy(docs[lang_col].alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = docs.filter(learn & docs[lang_col].isNotNull()).groupBy(docs[lang_col].alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return _fit([], epochs, rate, seed)
-    per_language = min(per_language, max(1, max_rows // len(counts)))
+    per_language = min(per_language, max(FEW, max_rows // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
     h = F.xxhash64(F.lit(seed), "id")
     chosen = rows.filter(F.pmod(h, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).select("lang", "text", (F.pmod(F.shiftright(h, 21), F.lit(5)) == 0).alias("test"), "id")
