@@ -2,15 +2,15 @@
 
 The lattice of a text has an edge for every vocabulary piece that matches at a place, and byte pieces for a character
 that no piece covers.  A piece costs ``PIECE_COST`` and its unigram weight (for a BPE vocabulary minus the logarithm of
-its rank).  As no piece crosses from a word to the next, the lattice is built once for each distinct word of a batch,
-and backward sums turn it into a chain of conditional choices whose paths have exactly the lattice's probabilities.
+its rank).  As no piece crosses from a word to the next, a task builds the lattice of each distinct word once, and
+backward sums turn it into a chain of conditional choices whose paths have exactly the lattice's probabilities.
 
 Gumbel top-k draws the k paths whose log-probability plus independent Gumbel noise is greatest, which is sampling
 without replacement.  It is found by best-first (A*) search over sets of paths, without ever listing paths: a set's
 greatest perturbed value is drawn from its total probability, truncated at its parent's; the best set gives up one path
 drawn from it, and the rest splits into the sets that first differ from that path at each of its edges.  With kappa the
 perturbed value of the best set left over, a path of log-probability phi was included with probability
-1 - exp(-exp(phi - kappa)), its inclusion score.
+1 - exp(-exp(phi - kappa)), its inclusion score.  The documents of a group take each round of the search together.
 
 Draws come from a counter-based generator keyed by seed and row key, so a row's samples do not depend on where it is
 processed.  Decoding gives the text back exactly, for any text: U+2581 itself is encoded as bytes.
@@ -23,6 +23,7 @@ gives an empty result.  The vocabulary file's path is a parameter; it is read on
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,14 +36,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrella.llm.common import tune
+from terrella.llm.vectors import mix
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 PIECE_COST = 4.0
-#: Documents whose words share one lattice.
+#: Documents that are searched together, and characters from which on a group is closed.
 GROUP = 128
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 500_000
+#: Characters of distinct words beyond which a task starts its lattice anew.
+KEPT_CHARS = 1_200_000
+#: Places further than this from their word's end are handled one after another, as only few words are so long.
+LONG = 256
+_NONE = np.zeros(0, np.int64)
 _SPREAD = 0x9E3779B97F4A7C15
+_ODD = np.uint64(_SPREAD)
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _SWAP = str.maketrans({" ": SPACE, SPACE: " "})
 
@@ -108,16 +116,19 @@ class Vocabulary:
         """The text of a sequence of piece ids."""
         return self.decoded(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
-    def decoded(self, ids: np.ndarray) -> bytes:
-        """The UTF-8 of :meth:`decode`."""
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int]]:
+        """The UTF-8 of sequences of ids laid end to end, each with the dummy prefix, and where each ends."""
         if self.raw is None:
             raw = [bytes([int(p[3:5], 16)]) if kind == 1 else b"" if kind else p.replace(SPACE, " ").encode() for p, kind in zip(self.pieces, self.kinds.tolist(), strict=True)]
             sizes = np.array([len(r) for r in raw], np.int64)
             self.raw = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes
         flat, starts, sizes = self.raw
         n = sizes[ids]
-        ends = np.cumsum(n)
-        return flat[np.arange(ends[-1] if len(ids) else 0) + np.repeat(starts[ids] - ends + n, n)].tobytes()[1:]
+        return flat[_ranges(starts[ids], n)].tobytes(), np.concatenate([[0], np.cumsum(n)])[ends].tolist()
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 of :meth:`decode`."""
+        return self.joined(ids, np.array([len(ids)]))[0][1:]
 
 
 def load(path: str = DEFAULT_MODEL, piece_cost: float = PIECE_COST) -> Vocabulary:
@@ -134,17 +145,54 @@ def load(path: str = DEFAULT_MODEL, piece_cost: float = PIECE_COST) -> Vocabular
     return Vocabulary([sp.id_to_piece(i) for i in range(n)], weights - piece_cost, kinds).build()
 
 
-class Lattice:
-    """Edges, conditional probabilities and cumulative keys of the lattices of distinct words, laid end to end."""
+def uniforms(state: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from the states of a counter-based generator."""
+    return ((mix(state) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
-    def __init__(self, vocab: Vocabulary, units: list[str]):
+
+class Lattice:
+    """Edges and conditional probabilities of the lattices of distinct words, laid end to end; it grows by :meth:`add`."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.size = self.edges = self.types = 0
+        #: Type number of a word, with and without the U+2581 before it.
+        self.index: dict[bool, dict[str, int]] = {True: {}, False: {}}
+        self._at_place = {"first": np.int32, "count": np.int32, "best": np.int32, "top": np.float64}
+        self._at_edge = {"src": np.int32, "dst": np.int32, "piece": np.int32, "end": bool, "p": np.float64}
+        self._at_type = {"starts": np.int64, "ends": np.int64}
+        for names in (self._at_place, self._at_edge, self._at_type):
+            for name, kind in names.items():
+                setattr(self, name, np.zeros(0, kind))
+        self.bare = np.zeros(0, np.int64)  # byte pieces of characters without a piece
+        self.bare_first, self.bare_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _append(self, names: dict, at: int, arrays: dict) -> None:
+        for name in names:
+            have, more = getattr(self, name), arrays[name]
+            if at + len(more) > len(have):
+                room = np.zeros(max(2 * len(have), at + len(more)), names[name])
+                room[:at] = have[:at]
+                setattr(self, name, have := room)
+            have[at : at + len(more)] = more
+
+    def numbers(self, words: list[str], bare: bool) -> np.ndarray:
+        """The types of a sequence of words; words that are new are added."""
+        index = self.index[bare]
+        new = [w for w in dict.fromkeys(words) if w not in index]
+        if new:
+            self.add([SPACE + w for w in new] if bare else new)
+            index.update(zip(new, range(self.types - len(new), self.types), strict=True))
+        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+    def add(self, units: list[str]) -> None:
+        vocab = self.vocab
         text = "".join(units)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(u) for u in units], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
+        ends = np.cumsum(sizes)
         n = len(points)
-        end_of = np.repeat(self.ends, sizes)
+        end_of = np.repeat(ends, sizes)
         src, dst, piece = [], [], []
         at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
         single = np.zeros(n, bool)
@@ -161,141 +209,257 @@ class Lattice:
             alive = at + depth < end_of[at]
             at, node = at[alive], node[alive]
         src, dst, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst, piece))
-        bare = np.flatnonzero(~single)
-        chars = {c: c.translate(_SWAP).encode("utf-8", "replace") for c in set(map(text.__getitem__, bare.tolist()))}
-        self.bare = [vocab.bytes_at[np.frombuffer(chars[text[p]], np.uint8)] for p in bare.tolist()]
-        sizes = np.array([len(x) for x in self.bare], np.int64)
+        alone = np.flatnonzero(~single)
+        chars = {c: vocab.bytes_at[np.frombuffer(c.translate(_SWAP).encode("utf-8", "replace"), np.uint8)] for c in set(map(text.__getitem__, alone.tolist()))}
+        raw = [chars[text[p]] for p in alone.tolist()]
+        raw_sizes = np.array([len(x) for x in raw], np.int64)
         # A bare character is one edge; its number, -1 - k, says which.
-        piece = np.concatenate([piece, -1 - np.arange(len(bare))])
-        weight = np.concatenate([vocab.weights[piece[: len(src)]], sizes * vocab.weights[vocab.bytes_at[0]]])
-        src, dst = np.concatenate([src, bare]), np.concatenate([dst, bare + 1])
+        weight = np.concatenate([vocab.weights[piece], raw_sizes * vocab.weights[vocab.bytes_at[0]]])
+        piece = np.concatenate([piece, -1 - len(self.bare_size) - np.arange(len(alone))])
+        if len(alone):
+            self.bare_first = np.concatenate([self.bare_first, len(self.bare) + np.cumsum(raw_sizes) - raw_sizes])
+            self.bare_size, self.bare = np.concatenate([self.bare_size, raw_sizes]), np.concatenate([self.bare, *raw])
+        src, dst = np.concatenate([src, alone]), np.concatenate([dst, alone + 1])
         # Edges by the distance of their start from the word's end, so that sums of later places come first; the edges
         # of a place stay together.
         back = end_of[src] - src
         order = np.argsort((back * (n + 1) + src) * 64 + np.minimum(dst - src, 63))
-        src, dst, weight, back = src[order], dst[order], weight[order], back[order]
-        self.src, self.dst, self.piece, self.end_flag = src, dst, piece[order], dst == end_of[src]
-        self.first, self.count, self.slot, self.best = (np.zeros(n, np.int64) for _ in range(4))
-        self.top = np.zeros(n)
-        if not n:
-            self.p = self.cum = np.zeros(0)
-            return
+        src, dst, weight, back, piece = src[order], dst[order], weight[order], back[order], piece[order]
+        end = dst == end_of[src]
         places = np.flatnonzero(np.diff(src, prepend=-1))  # where each place's edges begin
         count = np.diff(np.append(places, len(src)))
         at = src[places]
-        self.first[at], self.count[at], self.slot[at] = places, count, np.arange(len(places))
         beta, p = np.zeros(n + 1), np.empty(len(src))
         bounds = np.append(np.flatnonzero(np.diff(back, prepend=-1)), len(src))
+        far = int(np.searchsorted(back, LONG, "right"))
+        bounds = bounds[bounds <= far]
         spot = np.searchsorted(places, bounds)
         for a, b, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), spot[:-1].tolist(), spot[1:].tolist(), strict=True):
-            v = weight[a:b] + np.where(self.end_flag[a:b], 0.0, beta[dst[a:b]])
+            v = weight[a:b] + np.where(end[a:b], 0.0, beta[dst[a:b]])
             first, times = places[i:j] - a, count[i:j]
             top = np.maximum.reduceat(v, first)
             e = np.exp(v - np.repeat(top, times))
             sums = np.add.reduceat(e, first)
             beta[at[i:j]] = top + np.log(sums)
             p[a:b] = e / np.repeat(sums, times)
-        # Most draws end with a place's likeliest edge; the others are found among cumulative sums without it.
-        top = np.maximum.reduceat(p, places)
+        if far < len(src):
+            self._far(far, int(np.searchsorted(places, far)), places, count, at, dst, weight, beta, p)
+        # Most draws end with a place's likeliest edge.
+        top = np.maximum.reduceat(p, places) if n else np.zeros(0)
         best = np.flatnonzero(p == np.repeat(top, count))
         best = best[np.flatnonzero(np.diff(src[best], prepend=-1))]
-        self.p, self.best[at], self.top[at] = p, best, top
-        rest = p.copy()
-        rest[best] = 0.0
-        run = np.cumsum(rest)
-        before = np.concatenate([[0.0], run])[places]
-        self.cum = np.repeat(np.arange(len(places)), count) + np.minimum(run - np.repeat(before, count), 0.999999999)
-
-    def walk(self, at: np.ndarray, done: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Random paths from places ``at`` (where not ``done``) to their words' ends: edges and whose they are, in order."""
-        who = np.flatnonzero(~done)
-        at = at[who]
-        owners, edges = [], []
+        by_place = {name: np.empty(n, kind) for name, kind in self._at_place.items()}
+        by_place["first"][at], by_place["count"][at], by_place["best"][at], by_place["top"][at] = places + self.edges, count, best + self.edges, top
+        self._append(self._at_place, self.size, by_place)
+        self._append(self._at_edge, self.edges, {"src": src + self.size, "dst": dst + self.size, "piece": piece, "end": end, "p": p})
+        self._append(self._at_type, self.types, {"starts": ends - sizes + self.size, "ends": ends + self.size})
+        self.size, self.edges, self.types = self.size + n, self.edges + len(src), self.types + len(units)
+
+    @staticmethod
+    def _far(a: int, i: int, places: np.ndarray, count: np.ndarray, at: np.ndarray, dst: np.ndarray, weight: np.ndarray, beta: np.ndarray, p: np.ndarray) -> None:
+        """Sums and probabilities of places more than LONG from their word's end, one after another without arrays."""
+        sums, low = beta.tolist(), places[i:].tolist()
+        high, where = [*low[1:], len(dst)], at[i:].tolist()
+        to, w, out = dst[a:].tolist(), weight[a:].tolist(), [0.0] * (len(dst) - a)
+        exp, log = math.exp, math.log
+        for x, y, place in zip(low, high, where, strict=True):
+            v = [w[e] + sums[to[e]] for e in range(x - a, y - a)]
+            top = max(v)
+            v = [exp(z - top) for z in v]
+            total = sum(v)
+            sums[place] = top + log(total)
+            out[x - a : y - a] = [z / total for z in v]
+        p[a:] = out
+
+    def choose(self, at: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """The edge that a draw picks at each place: the likeliest first, then the others in order."""
+        e = self.best[at]
+        far = np.flatnonzero(draw >= self.top[at])
+        if len(far):
+            spot = at[far]
+            rest, x, last, best = draw[far] - self.top[spot], self.first[spot], self.first[spot] + self.count[spot] - 1, e[far]
+            last = np.where(last == best, last - 1, last)
+            while len(far):
+                skip = x == best
+                x = x + skip
+                rest = rest - self.p[x]
+                done = (rest < 0) | (x >= last)
+                e[far[done]] = np.minimum(x[done], last[done])
+                go = ~done
+                far, rest, x, last, best = far[go], rest[go], x[go] + 1, last[go], best[go]
+        return e
+
+    def walk(self, at: np.ndarray, states: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Random paths from each of the places ``at`` to its word's end: all edges in order, and the size of each path.
+
+        The draw at a place depends on the walk's state and the place alone.
+        """
+        who = np.flatnonzero(ends - at <= LONG)
+        size = np.zeros(len(at), np.int64)
+        here, steps = at[who], []
         while len(who):
-            draw = rng.random(len(at))
-            e = self.best[at]
-            far = np.flatnonzero(draw >= self.top[at])
-            if len(far):
-                spot = at[far]
-                found = np.searchsorted(self.cum, self.slot[spot] + (draw[far] - self.top[spot]), "right")
-                e[far] = np.minimum(np.maximum(found, self.first[spot]), self.first[spot] + self.count[spot] - 1)
-            owners.append(who), edges.append(e)
-            more = ~self.end_flag[e]
-            who, at = who[more], self.dst[e][more]
-        if not owners:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        owner, edge = np.concatenate(owners), np.concatenate(edges)
-        order = np.argsort(owner, kind="stable")
-        return edge[order], owner[order]
-
-    def pieces(self, edges: np.ndarray) -> np.ndarray:
+            e = self.choose(here, uniforms(states[who] + here.astype(np.uint64) * _ODD))
+            steps.append((who, e))
+            size[who] += 1
+            more = ~self.end[e]
+            who, here = who[more], self.dst[e[more]].astype(np.int64)
+        long = {}
+        for k in np.flatnonzero(ends - at > LONG).tolist():
+            a, b = int(at[k]), int(ends[k])
+            spots = np.arange(a, b)
+            e = self.choose(spots, uniforms(states[k] + spots.astype(np.uint64) * _ODD))
+            to, x, seen = (self.dst[e].astype(np.int64) - a).tolist(), 0, []
+            while x < b - a:
+                seen.append(x)
+                x = to[x]
+            long[k] = e[seen]
+            size[k] = len(seen)
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        for k, (who, e) in enumerate(steps):
+            out[first[who] + k] = e
+        for k, e in long.items():
+            out[first[k] : first[k] + len(e)] = e
+        return out, size
+
+    def pieces(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of a sequence of edges, and how many of them each edge has."""
         ids = self.piece[edges]
+        sizes = np.ones(len(ids), np.int64)
         bare = np.flatnonzero(ids < 0)
         if not len(bare):
-            return ids
-        parts, done = [], 0
-        for k in bare.tolist():
-            parts += [ids[done:k], self.bare[-1 - ids[k]]]
-            done = k + 1
-        return np.concatenate([*parts, ids[done:]])
+            return ids, sizes
+        number = -1 - ids[bare].astype(np.int64)
+        sizes[bare] = self.bare_size[number]
+        out = np.repeat(ids, sizes)
+        ends = np.cumsum(sizes)
+        n = sizes[bare]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(ends[bare] - n, n) + inner] = self.bare[np.repeat(self.bare_first[number], n) + inner]
+        return out, sizes
+
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], ..., starts[0] + sizes[0] - 1, starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
-def _log_exponential(rng: np.random.Generator, n: int | None = None):
-    return np.log(rng.standard_exponential(n))
 
+def _log_exponential(state: np.ndarray) -> np.ndarray:
+    return np.log(-np.log(uniforms(state)))
+
+
+@dataclass
+class _Round:
+    """The paths of one round of the search: those of document d are edges[first[d] : first[d + 1]], and so are their words."""
 
-def top_k(lattice: Lattice, types: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float, float]]:
-    """The k segmentations (edges, log-probability, perturbed log-probability, inclusion) of a sequence of words.
+    edges: np.ndarray
+    owners: np.ndarray
+    first: np.ndarray
+    phi: np.ndarray
 
-    Perturbed values are kept as logarithms of arrival times, minus the Gumbel values: the least comes first.
+
+def top_k(lattice: Lattice, types: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """The k segmentations (edges, log-probability, perturbed log-probability, inclusion) of each of many sequences of words.
+
+    Document d has the words types[bounds[d] : bounds[d + 1]] (one at least) and the key keys[d].  All documents take
+    each round of the search at once.  Perturbed values are kept as logarithms of arrival times, minus the Gumbel
+    values: the least comes first.
     """
-    starts = lattice.starts[types]
-    none = np.zeros(0, np.int64)
-    heap: list[tuple] = [(float(_log_exponential(rng)), 0, none, none, none)]
-    serial, found = 0, []
-    while heap and len(found) < k:
-        time, _, prefix, owners, banned = heapq.heappop(heap)
-        t = len(prefix)
-        done = np.zeros(len(types), bool)
-        at = starts.copy()
-        if t:
-            o = owners[-1]
-            done[:o] = True
-            last = prefix[-1]
-            done[o], at[o] = lattice.end_flag[last], lattice.dst[last]
-        edges, own = prefix, owners
-        if len(banned):  # the first free edge is another one than those
-            o = int(np.flatnonzero(~done)[0])
-            place = at[o]
-            choices = np.arange(lattice.first[place], lattice.first[place] + lattice.count[place])
-            choices = choices[(choices[:, None] != banned).all(1)]
+    n_docs = len(keys)
+    starts, ends = lattice.starts[types], lattice.ends[types]
+    # A draw's counter is the round and the character's place in the document.
+    length = ends - starts
+    place = np.cumsum(length) - length
+    doc_of = np.repeat(np.arange(n_docs), np.diff(bounds))
+    place -= place[bounds[:-1]][doc_of]
+    base = keys[doc_of] + (place - starts).astype(np.uint64) * _ODD
+    other = mix(keys ^ np.uint64(0xA0761D6478BD642F))  # the key of exponential draws
+    heaps: list[list[tuple]] = [[(float(t), 0, None, 0, ())] for t in _log_exponential(other)]
+    found: list[list[tuple]] = [[] for _ in range(n_docs)]
+    serial = 0
+    for number in range(k):
+        live = [d for d in range(n_docs) if heaps[d]]
+        if not live:
+            break
+        popped = [heapq.heappop(heaps[d]) for d in live]
+        shift, again = (np.uint64(x & (1 << 64) - 1) for x in (((number + 1) << 44) * _SPREAD, (number << 44) * _SPREAD + 7))
+        heads, head_owners, whole = [], [], np.empty(len(live), np.int64)
+        begin = starts.copy()
+        skip = np.zeros(len(types), bool)
+        for row, (d, (_, _, parent, t, banned)) in enumerate(zip(live, popped, strict=True)):
+            if parent is None:
+                heads.append(_NONE), head_owners.append(_NONE)
+                whole[row] = bounds[d]
+                continue
+            a = int(parent.first[d])
+            edge, o = int(parent.edges[a + t]), int(parent.owners[a + t])
+            spot = int(lattice.src[edge])  # the first free edge is another one than the banned ones
+            low = int(lattice.first[spot])
+            choices = [e for e in range(low, low + int(lattice.count[spot])) if e not in banned]
             share = np.cumsum(lattice.p[choices])
-            e = choices[min(int(np.searchsorted(share, rng.random() * share[-1], "right")), len(choices) - 1)]
-            edges, own = np.append(edges, e), np.append(own, o)
-            done[o], at[o] = lattice.end_flag[e], lattice.dst[e]
-        more, whose = lattice.walk(at, done, rng)
-        edges, own = np.concatenate([edges, more]), np.concatenate([own, whose])
-        logp = np.log(lattice.p[edges])
-        before = np.concatenate([[0.0], np.cumsum(logp)])
-        found.append((edges, float(before[-1]), -time))
-        # What is left of the set: paths that first differ at edge t, t + 1, ...
-        if len(edges) > t:
-            rest = 1.0 - lattice.p[edges[t:]]
-            sizes = lattice.count[lattice.src[edges[t:]]]
-            open_ = sizes > 1
-            if len(banned):
-                rest[0] -= lattice.p[banned].sum()
-                open_[0] = sizes[0] > len(banned) + 1
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mass = before[t:-1] + np.log(np.maximum(rest, 1e-300))
-            times = np.where(open_, np.logaddexp(time, _log_exponential(rng, len(mass)) - mass), np.inf)
-            keep = min(k, int(open_.sum()))
-            for j in np.argpartition(times, keep - 1)[:keep].tolist() if keep else ():
+            draw = float(uniforms(other[d : d + 1] + again)[0])
+            e = choices[min(int(np.searchsorted(share, draw * share[-1], "right")), len(choices) - 1)]
+            heads.append(np.append(parent.edges[a : a + t], e)), head_owners.append(np.append(parent.owners[a : a + t], o))
+            if lattice.end[e]:
+                skip[o] = True
+            begin[o] = lattice.dst[e]
+            whole[row] = o
+        stop = bounds[1:][live]
+        mine = _ranges(whole, stop - whole)
+        mine = mine[~skip[mine]]
+        walked, size = lattice.walk(begin[mine], base[mine] + shift, ends[mine])
+        owner = np.repeat(mine, size)
+        cut = np.searchsorted(owner, np.append(whole, len(types)))
+        cut[1:-1] = np.searchsorted(owner, stop[:-1])
+        edges = np.concatenate([x for row in range(len(live)) for x in (heads[row], walked[cut[row] : cut[row + 1]])])
+        owners = np.concatenate([x for row in range(len(live)) for x in (head_owners[row], owner[cut[row] : cut[row + 1]])])
+        sizes = np.array([len(h) for h in heads], np.int64) + np.diff(cut)
+        ends_at = np.cumsum(sizes)
+        p = lattice.p[edges]
+        logp = np.log(p)
+        before = np.cumsum(logp)
+        total = before[ends_at - 1]
+        offset = np.concatenate([[0.0], total[:-1]])
+        first = np.zeros(n_docs + 1, np.int64)
+        first[live] = ends_at - sizes
+        path = _Round(edges, owners, first, total - offset)
+        for row, d in enumerate(live):
+            found[d].append((edges[ends_at[row] - sizes[row] : ends_at[row]], float(path.phi[row]), -popped[row][0]))
+        # What is left of each set: paths that first differ at edge t, t + 1, ...
+        free = np.array([x[3] for x in popped], np.int64)
+        left = sizes - free
+        at = _ranges(ends_at - left, left)
+        rest = 1.0 - p[at]
+        many = lattice.count[lattice.src[edges[at]]]
+        open_ = many > 1
+        row_first = np.cumsum(left) - left
+        for row, x in enumerate(popped):
+            if x[4]:
+                rest[row_first[row]] -= lattice.p[list(x[4])].sum()
+                open_[row_first[row]] = many[row_first[row]] > len(x[4]) + 1
+        mass = before[at] - logp[at] - np.repeat(offset, left) + np.log(np.maximum(rest, 1e-300))
+        counter = (at - np.repeat(ends_at - sizes, left)).astype(np.uint64)
+        late = np.where(open_, _log_exponential(np.repeat(other[live], left) + shift + counter * _ODD) - mass, np.inf)
+        which = np.repeat(np.arange(len(live)), left)
+        for _ in range(k - number):  # no more of them can ever be needed
+            least = np.minimum.reduceat(late, row_first)
+            hit = np.flatnonzero((late == np.repeat(least, left)) & np.isfinite(late))
+            if not len(hit):
+                break
+            hit = hit[np.flatnonzero(np.diff(which[hit], prepend=-1))]
+            for x, row in zip(hit.tolist(), which[hit].tolist(), strict=True):
+                time, _, _, t, banned = popped[row]
+                j = x - int(row_first[row])
                 serial += 1
-                gone = np.append(banned, edges[t]) if j == 0 else edges[t + j : t + j + 1]
-                heapq.heappush(heap, (float(times[j]), serial, edges[: t + j], own[: t + j], gone))
-    kappa = -heap[0][0] if heap else -np.inf
-    return [(e, phi, g, float(-np.expm1(-np.exp(min(phi - kappa, 700.0)))) if np.isfinite(kappa) else 1.0) for e, phi, g in found]
+                gone = (*banned, int(edges[at[x]])) if j == 0 else (int(edges[at[x]]),)
+                heapq.heappush(heaps[live[row]], (float(np.logaddexp(time, late[x])), serial, path, t + j, gone))
+            late[hit] = np.inf
+    out = []
+    for d in range(n_docs):
+        kappa = -heaps[d][0][0] if heaps[d] else -np.inf
+        out.append([(e, phi, g, float(-np.expm1(-np.exp(min(phi - kappa, 700.0)))) if np.isfinite(kappa) else 1.0) for e, phi, g in found[d]])
+    return out
 
 
 def units_of(text: str) -> list[str]:
@@ -312,19 +476,46 @@ def _words(texts: list[str]) -> tuple[list[list[str]], bool]:
     return [t.split(" ") if t else [] for t in texts], True
 
 
+@dataclass
+class Samples:
+    """Samples of some rows, by row and rank; the ids of sample i are ids[ends[i - 1] : ends[i]]."""
+
+    number: list[int]
+    rank: list[int]
+    log_prob: list[float]
+    perturbed: list[float]
+    inclusion: list[float]
+    ids: np.ndarray
+    ends: np.ndarray
+
+
+def sample_rows(lattice: Lattice, rows: list[tuple], k: int, seed: int) -> Samples:
+    """Up to k samples of each of the rows of (key, text)."""
+    words, bare = _words([text or "" for _, text in rows])
+    keys = np.array([xxhash.xxh3_64_intdigest(f"{seed}|{key}") for key, _ in rows], np.uint64)
+    full = np.array([x for x, w in enumerate(words) if w], np.int64)
+    types = lattice.numbers(list(chain.from_iterable(words)), bare)
+    bounds = np.concatenate([[0], np.cumsum([len(words[x]) for x in full])]).astype(np.int64)
+    drawn = iter(top_k(lattice, types, bounds, keys[full], k) if len(full) else ())
+    empty = -_log_exponential(mix(keys ^ np.uint64(0xA0761D6478BD642F)))
+    out: list[list] = [[] for _ in range(5)]
+    paths = []
+    for number, w in enumerate(words):
+        for rank, (edges, phi, g, inclusion) in enumerate(next(drawn) if w else [(_NONE, 0.0, float(empty[number]), 1.0)], 1):
+            paths.append(edges)
+            for col, x in zip(out, (number, rank, phi, g, inclusion), strict=True):
+                col.append(x)
+    ids, sizes = lattice.pieces(np.concatenate(paths) if paths else _NONE)
+    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(x) for x in paths])] if paths else _NONE
+    return Samples(*out, ids, ends)
+
+
 def sample_group(vocab: Vocabulary, rows: list[tuple], k: int, seed: int) -> Iterator[tuple]:
     """(row number, rank, ids, log-probability, perturbed, inclusion) for rows of (key, text)."""
-    words, bare = _words([text or "" for _, text in rows])
-    index = {u: i for i, u in enumerate(dict.fromkeys(chain.from_iterable(words)))}
-    sequences = [np.fromiter(map(index.__getitem__, w), np.int64, len(w)) for w in words]
-    lattice = Lattice(vocab, [SPACE + u for u in index] if bare else list(index))
-    for number, ((key, _), types) in enumerate(zip(rows, sequences, strict=True)):
-        rng = np.random.Generator(np.random.Philox(key=xxhash.xxh3_128_intdigest(f"{seed}|{key}")))
-        if not len(types):
-            yield number, 1, np.zeros(0, np.int64), 0.0, -float(_log_exponential(rng)), 1.0
-            continue
-        for rank, (edges, phi, g, inclusion) in enumerate(top_k(lattice, types, k, rng), 1):
-            yield number, rank, lattice.pieces(edges), phi, g, inclusion
+    s = sample_rows(Lattice(vocab), rows, k, seed)
+    for x, ids in enumerate(np.split(s.ids, s.ends[:-1])):
+        if s.number:
+            yield s.number[x], s.rank[x], ids, s.log_prob[x], s.perturbed[x], s.inclusion[x]
 
 
 def _groups(texts: list, keys: list) -> Iterator[tuple[int, list[tuple]]]:
@@ -347,19 +538,20 @@ def sample(docs: DataFrame, vocab: Vocabulary, k: int = 2, seed: int = 23, id_co
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
+        lattice = Lattice(v)
         for batch in stream:
             keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for start, rows in _groups(texts, keys):
-                out: list[list] = [[] for _ in range(6)]
-                lists, sizes = [], [0]
-                for number, rank, ids, phi, g, inclusion in sample_group(v, rows, k, seed):
-                    lists.append(ids)
-                    sizes.append(sizes[-1] + len(ids))
-                    exact = v.decoded(ids) == (texts[start + number] or "").encode("utf-8", "replace")
-                    for col, x in zip(out, (keys[start + number], rank, phi, g, inclusion, exact), strict=True):
-                        col.append(x)
-                flat = pa.array(np.concatenate(lists).astype(np.int32))
-                arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), *(pa.array(out[c], pa.float64()) for c in (2, 3, 4)), pa.array(out[5], pa.bool_())]
+                if lattice.size > KEPT_CHARS:
+                    lattice = Lattice(v)
+                s = sample_rows(lattice, rows, k, seed)
+                raw, ends = v.joined(s.ids, s.ends)
+                exact, a = [], 0
+                for x, b in zip(s.number, ends, strict=True):
+                    exact.append(raw[a + 1 : b] == (rows[x][1] or "").encode("utf-8", "replace"))
+                    a = b
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], s.ends]).astype(np.int32)), pa.array(s.ids.astype(np.int32, copy=False)))
+                arrays = [pa.array([keys[start + x] for x in s.number], pa.int64()), pa.array(s.rank, pa.int32()), lists, *(pa.array(c, pa.float64()) for c in (s.log_prob, s.perturbed, s.inclusion)), pa.array(exact, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "rank", "ids", "log_prob", "perturbed", "inclusion", "exact"])
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))

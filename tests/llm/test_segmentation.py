@@ -69,3 +69,29 @@ def test_round_trip_and_cases(spark, vocab):
     assert S.sample(df.limit(0), vocab).collect() == []
     enc = S.decode(S.encode(df.select("text")), vocab).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in enc if "▁" not in (r["text"] or ""))
+
+
+def test_documents_of_a_group_do_not_touch_each_other(vocab):
+    rows = [(i, t) for i, t in enumerate(["some words of a text", "", "more words, with 字 and é", "a" * 700, "words of a text again", None, "  two  spaces"])]
+    together = list(S.sample_group(vocab, rows, 4, 9))
+    alone = [(n, *g[1:]) for n, row in enumerate(rows) for g in S.sample_group(vocab, [row], 4, 9)]
+    assert [(a[0], a[1], a[2].tolist()) for a in together] == [(b[0], b[1], b[2].tolist()) for b in alone]
+    assert all(abs(a[j] - b[j]) < 1e-6 for a, b in zip(together, alone, strict=True) for j in (3, 4, 5))
+
+
+def test_places_far_from_the_end_have_the_same_probabilities(vocab, monkeypatch):
+    word = [S.SPACE + "abcdefghij" * 60]
+    near, far = S.Lattice(vocab), S.Lattice(vocab)
+    monkeypatch.setattr(S, "LONG", 10_000)
+    near.add(word)
+    monkeypatch.setattr(S, "LONG", 5)
+    far.add(word)
+    assert np.allclose(near.p[: near.edges], far.p[: far.edges], rtol=1e-9)
+    total = np.add.reduceat(far.p[: far.edges], np.sort(far.first[: far.size]))
+    assert np.allclose(total, 1)
+
+
+def test_one_word_of_a_million_characters(vocab):
+    text = "".join(np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 1_000_000))
+    got = list(S.sample_group(vocab, [(1, text)], 2, 1))
+    assert len(got) == 2 and all(vocab.decode(g[2]) == text for g in got) and got[0][2].tolist() != got[1][2].tolist()
