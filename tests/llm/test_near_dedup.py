@@ -2,7 +2,7 @@
 
 import random
 
-from terrella.llm.near_dedup import near_duplicates
+from terrella.llm.near_dedup import keep_one, near_duplicates
 
 BLANK = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,3 +87,48 @@ def test_many_copies_are_one_node(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_an_id_with_two_texts_is_two_nodes(spark):
+    rng = random.Random(6)
+    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    a, b = make(60), make(60)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "more"])), (3, " ".join([*b, "more"])), (1, " ".join(a))]
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()), key=repr)
+    assert got == brute(rows, 4, 80) and all(r[2] == 1 for r in got)
+
+
+def test_small_sets_miss_no_link(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        text = [f"w{rng.randrange(100_000)}" for _ in range(rng.randint(8, 40))]
+        for j in range(4):
+            edit = list(text)
+            if j:
+                edit[rng.choice([0, -1, rng.randrange(len(edit))])] = f"x{i}{j}"
+            rows.append((i * 10 + j, " ".join(edit)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (1, 4):
+        assert sorted((tuple(r) for r in near_duplicates(df, words=words).collect()), key=repr) == brute(rows, words, 80)
+
+
+def test_texts_of_one_template_give_few_pairs(spark):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(150)]
+    rows = [(i, " ".join(passage + [f"o{rng.randrange(1 << 40)}" for _ in range(50)])) for i in range(3000)]  # similarity about 0.6
+    rows += [(5000 + i, rows[i][1] + " end") for i in range(0, 3000, 100)]
+    search = []
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4, search=search).collect()
+    assert sum(not r["kept"] for r in got) == 30 and all(r["component_id"] == r["doc_id"] % 5000 for r in got)
+    assert search[0].pairs < 42 * len(rows)  # all pairs would be 4.6 million
+
+
+def test_one_row_of_each_component_is_kept(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, text), (None, text), (4, text + " x"), (3, text), (3, text), (9, None), (9, None), (None, ""), (8, "a text of its own that stays here"), (None, "no id for this text at all"), (None, "no id for this text at all")]
+    df = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], "doc_id long, text string, source string, tkey int")
+    out = keep_one(df, words=4)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert got == sorted([(3, text), (9, None), (9, None), (None, ""), rows[8], rows[9]], key=repr)
