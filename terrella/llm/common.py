@@ -5,11 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: A key that holds at least one row in HOT_PARTS is hot: there can be no more than HOT_PARTS such keys.
 HOT_PARTS = 1000
@@ -17,19 +18,25 @@ HOT_PARTS = 1000
 #: Space, tab, line feed, vertical tab, form feed and carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
 
-_fallback: dict[str, str] = {}
-
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local folder of this process where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a local master gets a temporary folder of this process, and a cluster an error, as its
+    executors would each write to a disk of their own.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
-    if "dir" not in _fallback:
-        _fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="terrella-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(_fallback["dir"])
-    return _fallback["dir"]
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="terrella-")
+    sc.setCheckpointDir(folder)
+    return folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -70,7 +77,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts do not pile up in a Python worker."""
+    """Bound the rows of an Arrow batch of this session, so that long texts do not pile up in a Python worker.
+
+    A larger bound is lowered and stays so: plans made here read it when they run, after the call that made them.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
@@ -81,9 +91,9 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def batches(arrays: Iterable, rows: int) -> Iterator[slice]:
-    for at in range(0, rows, 512):
-        yield slice(at, min(rows, at + 512))
+def with_added(df: DataFrame, **added: str) -> StructType:
+    """The schema of ``df`` and added columns."""
+    return StructType([*df.schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in added.items())])
 
 
 def hot_keys(counts: DataFrame, keys: list[str], total: int, count: str = "count", parts: int = HOT_PARTS) -> DataFrame:

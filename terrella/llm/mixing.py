@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrella.llm.common import hot_keys, salted
+from terrella.llm.common import hot_keys, salted, written
 
 SPLIT = 300.0
 BROADCAST_SOURCES = 10_000
@@ -44,35 +44,44 @@ def distribution(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], default_weight: float, scale: float, source_col: str) -> DataFrame:
-    """One row a source: __source, count, rate, draws and the distribution function of one draw."""
-    counts = docs.groupBy(F.col(source_col).alias("__source")).count()
+    """One row a source: key, count, rate, draws and the distribution function of one draw.  The counts are written once."""
+    name = docs[source_col].cast("string")
+    counts = written(docs.groupBy(name.alias("source")).count(), "sources")
     weight = F.lit(float(default_weight))
-    for name, w in weights.items():
-        weight = F.when(F.col("__source") == name, F.lit(float(w))).otherwise(weight)
+    for source, w in weights.items():
+        weight = F.when(F.col("source") == source, F.lit(float(w))).otherwise(weight)
     weighed = counts.withColumn("weight", weight)
     sums = weighed.agg(F.sum("weight").alias("w"), F.sum("count").alias("n")).first()  # one row
     rate = F.col("weight") / F.lit(float(sums["w"] or 1)) * F.lit(float(sums["n"] or 0) * scale) / F.col("count")
     out = weighed.withColumn("rate", rate).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / SPLIT)).cast("int"))
-    return out.withColumn("cdf", distribution(F.col("rate") / F.col("draws"))).withColumn("__key", F.coalesce(F.concat(F.lit("s"), "__source"), F.lit("null")))
+    return out.withColumn("cdf", distribution(F.col("rate") / F.col("draws"))).withColumn("key", _source_key(F.col("source")))
+
+
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, scale: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The columns of ``docs``, as many rows of each as drawn, and ``__copy`` (from 1), in a global random order."""
+    """The columns of ``docs``, as many rows of each as drawn, and ``__copy`` (from 1), in a global random order.
+
+    A row of ``docs`` travels as one struct, so its columns may have any names; one called ``__copy`` is replaced.
+    """
     table = rates(docs, weights, default_weight, scale, source_col)
-    named = docs.withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")))
-    small = table.select("__key", "draws", "cdf")
+    id_text = F.coalesce(docs[id_col].cast("string"), F.lit(""))
+    kept = [docs[c] for c in docs.columns if c != COPY]
+    named = docs.select(F.struct(*kept).alias("row"), _source_key(docs[source_col].cast("string")).alias("key"), id_text.alias("id"))
+    small = table.select("key", "draws", "cdf")
     n_sources, total = table.agg(F.count("*"), F.sum("count")).first()
     if n_sources <= BROADCAST_SOURCES:
-        joined = named.join(F.broadcast(small), "__key")
+        joined = named.join(F.broadcast(small), "key")
     else:
-        joined = salted(named, small, ["__key"], hot_keys(table, ["__key"], total), F.xxhash64(id_col))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+        joined = salted(named, small, ["key"], hot_keys(table, ["key"], total), F.xxhash64("id"))
     copies = F.aggregate(
         F.sequence(F.lit(0), F.col("draws") - 1),
         F.lit(0),
-        lambda n, i: n + F.size(F.filter("cdf", lambda c: c <= F.when(i == 0, F.col("__u")).otherwise(unit(F.lit(str(seed)), i.cast("string"), key)))),
+        lambda n, i: n + F.size(F.filter("cdf", lambda c: c <= F.when(i == 0, F.col("u")).otherwise(unit(F.lit(str(seed)), i.cast("string"), F.col("id"))))),
     )
-    counted = joined.withColumn("__u", unit(F.lit(str(seed)), F.lit("0"), key)).withColumn("__n", copies).filter("__n > 0").drop("__key", "draws", "cdf", "__u")
-    spread = counted.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    order = F.md5(F.concat_ws("|", F.lit(f"{seed}order"), key, F.col(COPY).cast("string")))
-    return spread.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
+    counted = joined.withColumn("u", unit(F.lit(str(seed)), F.lit("0"), F.col("id"))).withColumn("n", copies).filter("n > 0").select("row", "id", "n")
+    spread = counted.select("row", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    order = F.md5(F.concat_ws("|", F.lit(f"{seed}order"), "id", F.col("copy").cast("string")))
+    return spread.withColumn("order", order).repartition("order").sortWithinPartitions("order").select("row.*", F.col("copy").alias(COPY))
