@@ -78,14 +78,7 @@ class CuckooFilter:
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Membership of many uint64 keys at once."""
-        t = np.array(self.table, np.uint16).reshape(self.buckets, SLOTS)
-        mask = np.uint64(self.buckets - 1)
-        fp = keys & np.uint64(0xFFFF)
-        fp[fp == 0] = 1
-        a = (keys >> np.uint64(16)) & mask
-        b = a ^ ((fp * np.uint64(0x5BD1E995)) & mask)
-        f = fp.astype(np.uint16)[:, None]
-        return (t[a.astype(np.int64)] == f).any(1) | (t[b.astype(np.int64)] == f).any(1)
+        return View(self.to_bytes()).probe(keys)
 
     @classmethod
     def of(cls, keys, capacity: int = 0) -> CuckooFilter:
@@ -110,3 +103,20 @@ class CuckooFilter:
         out.buckets, out.live = struct.unpack_from("<II", data)
         out.table = np.frombuffer(data, "<u2", offset=8).tolist()
         return out
+
+
+class View:
+    """A filter that is only read, from its bytes."""
+
+    def __init__(self, data: bytes):
+        self.buckets = struct.unpack_from("<I", data)[0]
+        self.table = np.frombuffer(data, "<u2", offset=8).reshape(self.buckets, SLOTS)
+
+    def probe(self, keys: np.ndarray) -> np.ndarray:
+        mask = np.uint64(self.buckets - 1)
+        fp = keys & np.uint64(0xFFFF)
+        fp[fp == 0] = 1
+        a = (keys >> np.uint64(16)) & mask
+        b = a ^ ((fp * np.uint64(0x5BD1E995)) & mask)
+        f = fp.astype(np.uint16)[:, None]
+        return (self.table[a.astype(np.int64)] == f).any(1) | (self.table[b.astype(np.int64)] == f).any(1)
