@@ -29,6 +29,8 @@ from terrella.llm.common import tune
 ORDERS = (1, 2, 3, 4)
 BITS = 15
 DIM = 16
+#: Buckets of a training text that are kept, chosen at random by the text: with the row bound, it bounds what the driver gets.
+TRAIN_GRAMS = 8192
 #: Rows that each language may have at least, however many languages there are.
 FEW = 20
 #: Code points of a text that are handled at once.
@@ -105,6 +107,8 @@ def _bags(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if parts:
                 counts = np.bincount(np.concatenate(parts), minlength=1 << BITS)
                 at = np.flatnonzero(counts)
+                if len(at) > TRAIN_GRAMS:
+                    at = np.sort(np.random.default_rng(int(counts @ np.arange(1 << BITS))).choice(at, TRAIN_GRAMS, replace=False))
                 langs.append(lang), tests.append(test), idx.append(at.astype("<u2").tobytes()), cnt.append(np.minimum(counts[at], 65535).astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(tests, pa.bool_()), pa.array(idx, pa.binary()), pa.array(cnt, pa.binary())], names=["lang", "test", "idx", "cnt"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrella.llm.common import tune
+from terrella.llm.common import tune, with_added
 from terrella.llm.vectors import mix, run_hashes
 
 BITS = 14
@@ -173,8 +173,11 @@ def fit(texts: list[bytes], labels: list[int], held: list[bool], epochs: int = 4
     return Model(vectors, shift, scale, w1, b1, w2, float(b2), best[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, seed: int = 11) -> Model:
-    """Fit on at most about ``per_class`` labelled rows a label among those where ``learn`` (over ``labels``) is true."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, max_bytes: int = 65_536, seed: int = 11) -> Model:
+    """Fit on at most about ``per_class`` labelled rows a label among those where ``learn`` (over ``labels``) is true.
+
+    Rows of more than ``max_bytes`` of text teach nothing, which bounds what the driver gets.
+    """
     tune(docs.sparkSession)
     known = labels.filter(learn & labels[label_col].isin(0, 1)).groupBy(labels[id_col].cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
@@ -183,18 +186,22 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     for y, n in counts.items():
         part = F.when(F.col("__y") == y, F.lit(min(1.0, per_class / n))).otherwise(part)
     chosen = known.filter(F.pmod(h, F.lit(1_000_003)) < part * 1_000_003).orderBy(h).limit(3 * per_class)
-    texts = docs.select(docs[id_col].cast("long").alias("__id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("__text"))
-    rows = texts.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).collect()  # the sample has at most 3 * per_class rows
+    texts = docs.select(docs[id_col].cast("long").alias("__id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("__text")).filter(F.length("__text") <= max_bytes)
+    # The sample has at most 3 * per_class rows, whatever repeats: of several texts with one id the first in order teaches.
+    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.max("__y").alias("__y"), F.min("__text").alias("__text")).collect()
     rows.sort(key=lambda r: r["__id"])
     held = [bool(mix(np.array([r["__id"]], np.int64).view(np.uint64))[0] % np.uint64(5) == 0) for r in rows]
     return fit([bytes(r["__text"]) for r in rows], [r["__y"] for r in rows], held, seed=seed)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", as_col: str = "__score") -> DataFrame:
-    """The columns of ``docs`` and the probability that its label is 1."""
+    """The columns of ``docs`` and the probability that its label is 1, which replaces a column of its name."""
+    if as_col == text_col:
+        raise ValueError("the score needs a column of its own")
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = list(docs.columns)
+    src = docs.select(*(docs[c] for c in docs.columns if c != as_col))
+    carried = list(src.columns)
     at = carried.index(text_col)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,5 +210,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", as_col: str = "
             x = np.array([pooled((t.as_py() or "").encode("utf-8", "surrogatepass"), m.vectors) for t in batch.column(at)]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scores(x).astype(np.float64), pa.float64())], names=[*carried, as_col])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{as_col}` double"])
-    return docs.mapInArrow(run, schema)
+    return src.mapInArrow(run, with_added(src, **{as_col: "double"}))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrella.llm.common import tune
+from terrella.llm.common import tune, with_added
 from terrella.llm.vectors import mix
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -559,34 +559,37 @@ def sample(docs: DataFrame, vocab: Vocabulary, k: int = 2, seed: int = 23, id_co
 
 
 def encode(docs: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text", as_col: str = "ids") -> DataFrame:
-    """The columns of ``docs`` and the vocabulary's own (deterministic) segmentation; the file must be on all executors."""
+    """The columns of ``docs`` and the vocabulary's own (deterministic) segmentation, which replaces a column of its name;
+    the file must be on all executors."""
     tune(docs.sparkSession, 1000)
-    carried = list(docs.columns)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         for batch in stream:
-            ids = sp.encode([t or "" for t in batch.column(carried.index(text_col)).to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*carried, as_col])
+            ids = sp.encode([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], num_threads=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=batch.schema.names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{as_col}` array<int>"])
-    return docs.mapInArrow(run, schema)
+    return _replaced(docs, text_col, as_col, run, "array<int>")
 
 
 def decode(rows: DataFrame, vocab: Vocabulary, ids_col: str = "ids", as_col: str = "decoded") -> DataFrame:
-    """The columns of ``rows`` and the text that the ids stand for; null ids give null."""
+    """The columns of ``rows`` and the text that the ids stand for, which replaces a column of its name; null ids give null."""
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
-    carried = list(rows.columns)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            texts = [None if x is None else shared.value.decode(x) for x in batch.column(carried.index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*carried, as_col])
+            texts = [None if x is None else shared.value.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=batch.schema.names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{as_col}` string"])
-    return rows.mapInArrow(run, schema)
+    return _replaced(rows, ids_col, as_col, run, "string")
+
+
+def _replaced(df: DataFrame, from_col: str, as_col: str, run, kind: str) -> DataFrame:
+    kept = df.select(*(df[c] for c in df.columns if c != as_col))
+    src = df.select(*(df[c] for c in kept.columns), df[from_col].alias(as_col))
+    return src.mapInArrow(run, with_added(kept, **{as_col: kind}))
 
 
 def vocabulary(spark: SparkSession, path: str | None = None) -> Vocabulary:
