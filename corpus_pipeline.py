@@ -1,7 +1,11 @@
 """The corpus pipeline: stages that turn raw documents into training data.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again before the next.
-All but the last return the columns of ``documents``; other columns of the input are dropped.
+All but the last return the columns of ``documents``; other columns of the input are dropped, whatever their names.
+
+Defined results, in all stages: a null text counts as empty and an empty table gives an empty one.  A row with a null id is
+a document like any other, and rows that repeat an id are documents of their own, except that near-dedup keeps one of the
+rows that repeat both id and text.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from terrella.llm import quality, segmentation
 from terrella.llm.common import remainder, written
 from terrella.llm.line_dedup import line_dedup
 from terrella.llm.mixing import mixed
-from terrella.llm.near_dedup import near_duplicates
+from terrella.llm.near_dedup import keep_one
 from terrella.llm.queries import MIX_SEED, MIX_WEIGHTS, QUALITY_FROM
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,18 +37,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: five words, similarity of 0.8 or more."""
-    kept = near_duplicates(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each near-duplicate component (five words, similarity of 0.8 or more): that with the smallest id, a null
+    id coming last.  Rows without words are nobody's copies and all stay."""
+    return keep_one(docs.select(COLUMNS), words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The target mix of sources, globally shuffled; a document's copies are rows of their own."""
+    """The target mix of sources, globally shuffled; a document's copies are rows of their own.  A null source is a source."""
     return mixed(docs.select(COLUMNS), MIX_WEIGHTS, seed=MIX_SEED).select(COLUMNS)
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each row of the mix, as piece ids."""
+    """Two sampled segmentations of each row of the mix, as piece ids; an empty text has the empty one alone."""
     out = segmentation.sample(docs, segmentation.vocabulary(spark), k=2)
     return out.withColumnRenamed("id", "doc_id")
 
