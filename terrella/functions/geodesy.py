@@ -84,3 +84,8 @@ def expand_box(s: Column, w: Column, n: Column, e: Column, meters: Column, divid
     c = F.cos(F.radians(s))
     dlon = F.when(c != 0, dlat / F.when(c != 0, c)) if divide else c * dlat
     return s - dlat, w - dlon, n + dlat, e + dlon
+
+
+def box_union(s: Column, w: Column, n: Column, e: Column) -> list[Column]:
+    """Aggregates: the box around all boxes of a group.  Null sides are passed over."""
+    return [F.min(s).alias("s"), F.min(w).alias("w"), F.max(n).alias("n"), F.max(e).alias("e")]

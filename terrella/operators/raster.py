@@ -99,6 +99,25 @@ def grid_stats(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(F.avg("asl").alias("avg_asl"), F.min("asl").alias("min_asl"), F.max("asl").alias("max_asl"), F.count("*").alias("n_samples"))
 
 
+def corner_heights(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Lowest and highest height of the corners of each whole grid's region (s, w, n, e), between the samples around them.
+
+    Each sample counts for a corner by its tent function, which is the interpolation between four samples, so one
+    aggregation does for all corners.
+    """
+    tent = lambda at, spot: F.greatest(F.lit(0.0), 1 - F.abs(F.col(at) - F.col(spot)) / F.col("scale_deg"))
+    sums = [F.sum(F.col("asl") * tent("lat", y) * tent("lon", x)).alias(f"__{y}{x}") for y in "sn" for x in "we"]
+    found = samples.groupBy(*keys).agg(*sums, F.bool_and(F.col("asl").isNotNull()).alias("__whole")).filter("__whole")
+    corners = [F.col(f"__{y}{x}") for y in "sn" for x in "we"]
+    return found.select(*keys, F.least(*corners).alias("lowest_corner"), F.greatest(*corners).alias("highest_corner"))
+
+
+def flatten_target(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """The height to flatten each region to: the mean of its finest whole grid, to the whole number below."""
+    means = samples.groupBy(*keys, "level").agg(F.avg("asl").alias("mean"), F.bool_and(F.col("asl").isNotNull()).alias("whole")).filter("whole")
+    return means.groupBy(*keys).agg(F.floor(F.min_by("mean", "level")).cast("int").alias("value"))
+
+
 def bilinear(points: DataFrame, pixels: DataFrame, tile: int, lat: str = "lat_deg", lon: str = "lon_deg") -> DataFrame:
     """Height between the four pixel corners around a position of a layer row (one per row of ``points``).
 

@@ -202,12 +202,13 @@ def j07_outer(spark, sf_dir):
     return V.table(spark, sf_dir, "supplier").select("s_suppkey").join(l, "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-@query("""WITH ev AS (SELECT event_id, user_id % 40 AS parent_id, value AS asl FROM events WHERE event_id % 10 = 0), pa AS (SELECT n_nationkey::BIGINT AS parent_id FROM nation), ch AS (SELECT c_nationkey::BIGINT AS parent_id, c_custkey AS child_id, (c_custkey % 7)::DOUBLE AS off FROM customer WHERE c_custkey % 50 = 0)
+@query("""WITH ev AS (SELECT event_id, user_id % 40 AS parent_id, value AS asl FROM events), pa AS (SELECT n_nationkey::BIGINT AS parent_id FROM nation), ch AS (SELECT c_nationkey::BIGINT AS parent_id, c_custkey AS child_id, (c_custkey % 7)::DOUBLE AS off FROM customer)
     SELECT parent_id, NULL::BIGINT AS child_id, asl FROM ev SEMI JOIN pa USING (parent_id) UNION ALL SELECT ev.parent_id, child_id, asl - off FROM ev SEMI JOIN pa USING (parent_id) JOIN ch USING (parent_id)""")
 def j08_event_children(spark, sf_dir):
-    ev = V.table(spark, sf_dir, "events").filter("event_id % 10 = 0").select((F.col("user_id") % 40).alias("parent_id"), F.col("value").alias("asl"))
+    """The height of every event for its parent and all of the parent's children."""
+    ev = V.table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("parent_id"), F.col("value").alias("asl"))
     parents = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("parent_id"))
-    kids = V.table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.col("c_nationkey").cast("long").alias("parent_id"), F.col("c_custkey").alias("child_id"), (F.col("c_custkey") % 7).cast("double").alias("offset"))
+    kids = V.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("parent_id"), F.col("c_custkey").alias("child_id"), (F.col("c_custkey") % 7).cast("double").alias("offset"))
     return T.events_to_children(ev, parents, kids)
 
 
@@ -220,16 +221,6 @@ def j09_pair_index(spark, sf_dir):
     return wide.select("level", F.posexplode(F.arrays_zip("o", "c")).alias("tile", "x")).select("level", "tile", F.col("x.o").cast("long").alias("off"), F.col("x.c").cast("long").alias("nbytes"))
 
 
-@query("""WITH ev AS (SELECT event_id, user_id % 40 AS parent_id, value AS asl FROM events), pa AS (SELECT n_nationkey::BIGINT AS parent_id FROM nation), ch AS (SELECT c_nationkey::BIGINT AS parent_id, c_custkey AS child_id, (c_custkey % 7)::DOUBLE AS off FROM customer)
-    SELECT parent_id, NULL::BIGINT AS child_id, asl FROM ev SEMI JOIN pa USING (parent_id) UNION ALL SELECT ev.parent_id, child_id, asl - off FROM ev SEMI JOIN pa USING (parent_id) JOIN ch USING (parent_id)""")
-def j10_event_children_whole(spark, sf_dir):
-    """The join of j08 over every event and every customer."""
-    ev = V.table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("parent_id"), F.col("value").alias("asl"))
-    parents = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("parent_id"))
-    kids = V.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("parent_id"), F.col("c_custkey").alias("child_id"), (F.col("c_custkey") % 7).cast("double").alias("offset"))
-    return T.events_to_children(ev, parents, kids)
-
-
 @query(f"WITH {V.LAYERS}, {V.RESIDENCY} SELECT level, sum(CASE WHEN state = 'Ready' THEN nbytes ELSE 0 END)::BIGINT AS bytes FROM rs GROUP BY level")
 def a01_resident_bytes(spark, sf_dir):
     return R.resident_bytes(V.residency(spark)).select("level", F.col("bytes").cast("long").alias("bytes"))
@@ -409,9 +400,13 @@ def r02_flatten_once(spark, sf_dir):
     return T.decided_once(V.notifications(spark, sf_dir), ready, F.col("value"))
 
 
-@query(f"WITH {V.NOTIFICATIONS} SELECT entity_id, arg_max((event_id % 1000), (ts, event_id))::BIGINT AS asl FROM nt GROUP BY entity_id")
+@query(f"""WITH RECURSIVE {V.NOTIFICATIONS}, st AS (SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS k, (event_id % 1000)::DOUBLE AS g, (2 + entity_id % 5)::DOUBLE AS r, ((entity_id * 37) % 1500)::DOUBLE AS a FROM nt),
+    fold AS (SELECT entity_id, k, g, r, a AS asl FROM st WHERE k = 1 UNION ALL
+        SELECT st.entity_id, st.k, st.g, st.r, CASE WHEN st.g <> f.g AND (f.asl - st.r <= f.g OR f.asl - st.r <= st.g) THEN f.asl + st.g - f.g ELSE f.asl END FROM fold f JOIN st ON st.entity_id = f.entity_id AND st.k = f.k + 1)
+    SELECT entity_id, arg_max(asl, k) AS asl FROM fold GROUP BY entity_id""")
 def r03_stabiliser(spark, sf_dir):
-    return T.adjusted(V.notifications(spark, sf_dir), F.col("event_id") % 1000, F.lit(2)).select("entity_id", F.col("asl").cast("long").alias("asl"))
+    """Heights of entities that hover or stand, after every change of the ground below."""
+    return T.adjusted(V.notifications(spark, sf_dir), F.col("event_id") % 1000, (F.col("entity_id") * 37) % 1500, F.col("entity_id") % 5 + 2)
 
 
 @query("SELECT user_id AS parent_id, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids FROM events SEMI JOIN nation ON n_nationkey = user_id GROUP BY user_id")
@@ -426,13 +421,64 @@ def r05_dedup_requests(spark, sf_dir):
     return T.new_requests(V.notifications(spark, sf_dir))
 
 
+_GRID1 = _GRID.replace(" AS x0", " - 1 AS x0").replace(" AS x1", " + 1 AS x1").replace(" AS y0", " - 1 AS y0").replace(" AS y1", " + 1 AS y1")
+_TENT = lambda y, x: f"sum(asl * greatest(0.0::DOUBLE, 1 - abs(lat - {y}) / scale_deg) * greatest(0.0::DOUBLE, 1 - abs(lon - {x}) / scale_deg))"
+_CORNERS = f"""co AS (SELECT s_suppkey, level, {", ".join(f"{_TENT(y, x)} AS c{y}{x}" for y in "sn" for x in "we")} FROM g5 JOIN gb USING (s_suppkey) JOIN (SELECT level, scale_deg FROM ly) USING (level) GROUP BY s_suppkey, level HAVING bool_and(asl IS NOT NULL)),
+    cl AS (SELECT s_suppkey, level, least(csw, cse, cnw, cne) AS lo, greatest(csw, cse, cnw, cne) AS hi FROM co)"""
+
+
+def _corners(spark, sf_dir):
+    grids = R.grid(V.geo_box(spark, sf_dir).crossJoin(F.broadcast(V.layers(spark))), TILE, 1)  # a dimension of four rows
+    return R.corner_heights(R.displaced(grids, V.pixels(spark), V.residency(spark)), ["s_suppkey", "level"])
+
+
+@query(f"WITH {V.GEO_BOX}, {_RASTER}, {_GRID1}, {_DISPLACED}, {_CORNERS} SELECT s_suppkey, level, {rs('lo', 4)} AS lowest_corner, {rs('hi', 4)} AS highest_corner FROM cl")
+def a05_corner_heights(spark, sf_dir):
+    return _corners(spark, sf_dir).select("s_suppkey", "level", r(F.col("lowest_corner"), 4).alias("lowest_corner"), r(F.col("highest_corner"), 4).alias("highest_corner"))
+
+
+@query(f"WITH {V.GEO_BOX}, {_RASTER}, {_GRID1}, {_DISPLACED}, {_CORNERS} SELECT s_suppkey, min(level)::INT AS level, {rs('arg_min(lo, level) - s_suppkey % 4', 4)} AS asl FROM cl GROUP BY s_suppkey")
+def r06_foundation(spark, sf_dir):
+    """Foundations at the lowest corner of their finest whole grid."""
+    best = T.levelled(_corners(spark, sf_dir), ["s_suppkey"], F.col("s_suppkey") % 4)
+    return best.select("s_suppkey", "level", r(F.col("asl"), 4).alias("asl"))
+
+
+_FLATTEN = """ft AS (SELECT s_suppkey, level, avg(asl) AS mean FROM g5 GROUP BY s_suppkey, level HAVING bool_and(asl IS NOT NULL)), fv AS (SELECT s_suppkey, floor(arg_min(mean, level))::INT AS value FROM ft GROUP BY s_suppkey),
+    bt AS (SELECT level, tile_offset, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1, s_suppkey AS rank, any_value(value) AS value FROM g4 JOIN fv USING (s_suppkey) GROUP BY level, tile_offset, s_suppkey),
+    bs AS (SELECT *, unnest(range(r0, r1)) AS row FROM bt WHERE r0 < r1 AND c0 < c1), bc AS (SELECT *, unnest(range(c0, c1)) AS col FROM bs), bb AS (SELECT level, tile_offset, row, col, arg_max(value, rank) AS v FROM bc GROUP BY ALL)"""
+
+
+@query(f"WITH {V.GEO_BOX}, {_RASTER}, {_GRID}, {_DISPLACED}, {_FLATTEN} SELECT level, tile_offset, sum(coalesce(v, px.height))::BIGINT AS sum_h FROM px JOIN rs USING (level, tile_offset) LEFT JOIN bb USING (level, tile_offset, row, col) WHERE state = 'Ready' GROUP BY level, tile_offset")
+def r07_flatten(spark, sf_dir):
+    """Resident tiles with each region flattened, at every level, to the mean height of its finest whole grid."""
+    samples = _displaced(spark, sf_dir)
+    target = R.flatten_target(samples.select("s_suppkey", "level", "asl"), ["s_suppkey"])
+    parts = _grids(spark, sf_dir).groupBy("level", "tile_offset", "s_suppkey").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    ready = V.residency(spark).filter("state = 'Ready'").select("level", "tile_offset")
+    burnt = R.burn(V.pixels(spark).join(ready, R.TILE_KEY), parts.join(target, "s_suppkey").withColumnRenamed("s_suppkey", "rank"))
+    return burnt.groupBy("level", "tile_offset").agg(F.sum("height").cast("long").alias("sum_h"))
+
+
+@query(f"WITH {V.GEO_BOX} SELECT s_nationkey, {rs('min(s)')} AS s, {rs('min(w)')} AS w, {rs('max(n)')} AS n, {rs('max(e)')} AS e FROM gb JOIN supplier USING (s_suppkey) GROUP BY s_nationkey")
+def a10_box_union(spark, sf_dir):
+    """The box around all suppliers' boxes of each nation."""
+    nations = V.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    boxes = V.geo_box(spark, sf_dir).join(nations, "s_suppkey").groupBy("s_nationkey").agg(*G.box_union(*map(F.col, "swne")))
+    return boxes.select("s_nationkey", *(r(F.col(c)).alias(c) for c in "swne"))
+
+
 def _folder(spark) -> str:
-    """A folder that the executors share: the cluster's own, or a local one where none is named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base and base.startswith("file:"):
-        path = base.removeprefix("file://")
+    """A folder that the executors share: the cluster's own, or a local one under a local master."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    base = sc.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else "")
+    if base.startswith("file:") or base.startswith("/"):
+        path = "/" + base.removeprefix("file:").lstrip("/")
         os.makedirs(path, exist_ok=True)
         return tempfile.mkdtemp(dir=path)
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a mounted folder that all executors share")
     return tempfile.mkdtemp(prefix="terrella-cog-")
 
 
