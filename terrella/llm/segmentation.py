@@ -26,11 +26,13 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +67,7 @@ class Vocabulary:
     shift: int = 0
     ids: np.ndarray = None  # piece at a trie node, or -1
     bytes_at: np.ndarray = None
-    raw: tuple | None = None  # bytes of all pieces, where each begins, and sizes
+    raw: pa.LargeBinaryArray | None = None  # the bytes of each piece
 
     def build(self) -> Vocabulary:
         trie: dict[int, int] = {}
@@ -120,11 +122,12 @@ class Vocabulary:
         """The UTF-8 of sequences of ids laid end to end, each with the dummy prefix, and where each ends."""
         if self.raw is None:
             raw = [bytes([int(p[3:5], 16)]) if kind == 1 else b"" if kind else p.replace(SPACE, " ").encode() for p, kind in zip(self.pieces, self.kinds.tolist(), strict=True)]
-            sizes = np.array([len(r) for r in raw], np.int64)
-            self.raw = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes
-        flat, starts, sizes = self.raw
-        n = sizes[ids]
-        return flat[_ranges(starts[ids], n)].tobytes(), np.concatenate([[0], np.cumsum(n)])[ends].tolist()
+            self.raw = pa.array(raw, pa.large_binary())
+        if not len(ids):
+            return b"", [0] * len(ends)
+        _, offsets, flat = self.raw.take(pa.array(ids)).buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(ids) + 1)
+        return flat.slice(0, int(offsets[-1])).to_pybytes() if offsets[-1] else b"", offsets[ends].tolist()
 
     def decoded(self, ids: np.ndarray) -> bytes:
         """The UTF-8 of :meth:`decode`."""
@@ -155,15 +158,19 @@ class Lattice:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.size = self.edges = self.types = 0
-        #: Type number of a word, with and without the U+2581 before it.
-        self.index: dict[bool, dict[str, int]] = {True: {}, False: {}}
         self._at_place = {"first": np.int32, "count": np.int32, "best": np.int32, "top": np.float64}
-        self._at_edge = {"src": np.int32, "dst": np.int32, "piece": np.int32, "end": bool, "p": np.float64}
+        self._at_edge = {"src": np.int32, "dst": np.int32, "piece": np.int32, "end": bool, "open": bool, "p": np.float64}
         self._at_type = {"starts": np.int64, "ends": np.int64}
         for names in (self._at_place, self._at_edge, self._at_type):
             for name, kind in names.items():
                 setattr(self, name, np.zeros(0, kind))
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words; the room that they took is used again."""
+        self.size = self.edges = self.types = 0
+        #: Type number of a word, with and without the U+2581 before it.
+        self.index: dict[bool, dict[str, int]] = {True: {}, False: {}}
         self.bare = np.zeros(0, np.int64)  # byte pieces of characters without a piece
         self.bare_first, self.bare_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -171,31 +178,35 @@ class Lattice:
         for name in names:
             have, more = getattr(self, name), arrays[name]
             if at + len(more) > len(have):
-                room = np.zeros(max(2 * len(have), at + len(more)), names[name])
+                room = np.empty(max(2 * len(have), at + len(more)), names[name])
                 room[:at] = have[:at]
                 setattr(self, name, have := room)
             have[at : at + len(more)] = more
 
     def numbers(self, words: list[str], bare: bool) -> np.ndarray:
-        """The types of a sequence of words; words that are new are added."""
+        """The types of distinct words; words that are new are added."""
         index = self.index[bare]
-        new = [w for w in dict.fromkeys(words) if w not in index]
-        if new:
+        out = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [words[x] for x in missing.tolist()]
+            out[missing] = np.arange(self.types, self.types + len(new))
             self.add([SPACE + w for w in new] if bare else new)
-            index.update(zip(new, range(self.types - len(new), self.types), strict=True))
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            index.update(zip(new, out[missing].tolist(), strict=True))
+        return out
 
     def add(self, units: list[str]) -> None:
         vocab = self.vocab
         text = "".join(units)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.array([len(u) for u in units], np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(sizes)
         n = len(points)
         end_of = np.repeat(ends, sizes)
-        src, dst, piece = [], [], []
+        back = end_of - np.arange(n)
+        # Every place has an edge of one character, a piece or bare; slots tell the longer ones of a place apart, by length.
         at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
-        single = np.zeros(n, bool)
+        single, many, longer = np.full(n, -1, np.int64), np.ones(n, np.int64), []
         while len(at):
             key = node << 21 | points[at + depth]
             ok, node = vocab.step(key)
@@ -203,64 +214,79 @@ class Lattice:
             depth += 1
             ids = vocab.ids[node]
             hit = ids >= 0
-            src.append(at[hit]), dst.append(at[hit] + depth), piece.append(ids[hit])
+            x = at[hit]
             if depth == 1:
-                single[at[hit]] = True
-            alive = at + depth < end_of[at]
+                single[x] = ids[hit]
+            elif len(x):
+                longer.append((depth, x, many[x], ids[hit]))
+                many[x] += 1
+            alive = back[at] > depth
             at, node = at[alive], node[alive]
-        src, dst, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst, piece))
-        alone = np.flatnonzero(~single)
+        alone = np.flatnonzero(single < 0)
         chars = {c: vocab.bytes_at[np.frombuffer(c.translate(_SWAP).encode("utf-8", "replace"), np.uint8)] for c in set(map(text.__getitem__, alone.tolist()))}
         raw = [chars[text[p]] for p in alone.tolist()]
         raw_sizes = np.array([len(x) for x in raw], np.int64)
-        # A bare character is one edge; its number, -1 - k, says which.
-        weight = np.concatenate([vocab.weights[piece], raw_sizes * vocab.weights[vocab.bytes_at[0]]])
-        piece = np.concatenate([piece, -1 - len(self.bare_size) - np.arange(len(alone))])
+        # Places by their distance from the word's end, so that sums of later places come first; the edges of a place
+        # stay together.
+        at = np.argsort(back.astype(np.uint16) if sizes.max() < 1 << 16 else back, kind="stable")
+        count, back = many[at], back[at]
+        places = np.cumsum(count) - count  # where each place's edges begin
+        first = np.empty(n, np.int64)
+        first[at] = places
+        src = np.repeat(at, count)
+        piece, dst = np.zeros(len(src), np.int64), src + 1
+        piece[places] = np.maximum(single[at], 0)
+        for depth, x, slot, ids in longer:
+            e = first[x] + slot
+            piece[e] = ids
+            dst[e] += depth - 1
+        weight = vocab.weights[piece]
         if len(alone):
+            # A bare character is one edge; its number, -1 - k, says which.
+            weight[first[alone]] = raw_sizes * vocab.weights[vocab.bytes_at[0]]
+            piece[first[alone]] = -1 - len(self.bare_size) - np.arange(len(alone))
             self.bare_first = np.concatenate([self.bare_first, len(self.bare) + np.cumsum(raw_sizes) - raw_sizes])
             self.bare_size, self.bare = np.concatenate([self.bare_size, raw_sizes]), np.concatenate([self.bare, *raw])
-        src, dst = np.concatenate([src, alone]), np.concatenate([dst, alone + 1])
-        # Edges by the distance of their start from the word's end, so that sums of later places come first; the edges
-        # of a place stay together.
-        back = end_of[src] - src
-        order = np.argsort((back * (n + 1) + src) * 64 + np.minimum(dst - src, 63))
-        src, dst, weight, back, piece = src[order], dst[order], weight[order], back[order], piece[order]
         end = dst == end_of[src]
-        places = np.flatnonzero(np.diff(src, prepend=-1))  # where each place's edges begin
-        count = np.diff(np.append(places, len(src)))
-        at = src[places]
-        beta, p = np.zeros(n + 1), np.empty(len(src))
-        bounds = np.append(np.flatnonzero(np.diff(back, prepend=-1)), len(src))
+        goal = np.where(end, n, dst)  # there is nothing to add behind a word's end
+        beta, p, likely, top = np.zeros(n + 1), np.empty(len(src)), np.empty(len(src), bool), np.empty(n)
         far = int(np.searchsorted(back, LONG, "right"))
-        bounds = bounds[bounds <= far]
-        spot = np.searchsorted(places, bounds)
+        spot = np.append(np.flatnonzero(np.diff(back, prepend=0)), n)
+        spot = spot[spot <= far]
+        bounds = np.append(places, len(src))[spot]
         for a, b, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), spot[:-1].tolist(), spot[1:].tolist(), strict=True):
-            v = weight[a:b] + np.where(end[a:b], 0.0, beta[dst[a:b]])
-            first, times = places[i:j] - a, count[i:j]
-            top = np.maximum.reduceat(v, first)
-            e = np.exp(v - np.repeat(top, times))
-            sums = np.add.reduceat(e, first)
-            beta[at[i:j]] = top + np.log(sums)
-            p[a:b] = e / np.repeat(sums, times)
-        if far < len(src):
-            self._far(far, int(np.searchsorted(places, far)), places, count, at, dst, weight, beta, p)
+            v = weight[a:b] + beta[goal[a:b]]
+            begin, times = places[i:j] - a, count[i:j]
+            most = np.maximum.reduceat(v, begin)
+            v -= np.repeat(most, times)
+            e = np.exp(v, out=v)
+            sums = np.add.reduceat(e, begin)
+            beta[at[i:j]] = most + np.log(sums)
+            np.divide(e, np.repeat(sums, times), out=p[a:b])
+            np.equal(e, 1.0, out=likely[a:b])
+            top[i:j] = 1.0 / sums
+        if far < n:
+            a = int(places[far])
+            self._far(a, far, places, at, goal, weight, beta, p)
+            top[far:] = np.maximum.reduceat(p[a:], places[far:] - a)
+            likely[a:] = p[a:] == np.repeat(top[far:], count[far:])
         # Most draws end with a place's likeliest edge.
-        top = np.maximum.reduceat(p, places) if n else np.zeros(0)
-        best = np.flatnonzero(p == np.repeat(top, count))
-        best = best[np.flatnonzero(np.diff(src[best], prepend=-1))]
+        best = np.flatnonzero(likely)
+        if len(best) > n:
+            best = best[np.flatnonzero(np.diff(src[best], prepend=-1))]
         by_place = {name: np.empty(n, kind) for name, kind in self._at_place.items()}
         by_place["first"][at], by_place["count"][at], by_place["best"][at], by_place["top"][at] = places + self.edges, count, best + self.edges, top
         self._append(self._at_place, self.size, by_place)
-        self._append(self._at_edge, self.edges, {"src": src + self.size, "dst": dst + self.size, "piece": piece, "end": end, "p": p})
+        self._append(self._at_edge, self.edges, {"src": src + self.size, "dst": dst + self.size, "piece": piece, "end": end, "open": np.repeat(count > 1, count), "p": p})
         self._append(self._at_type, self.types, {"starts": ends - sizes + self.size, "ends": ends + self.size})
         self.size, self.edges, self.types = self.size + n, self.edges + len(src), self.types + len(units)
 
     @staticmethod
-    def _far(a: int, i: int, places: np.ndarray, count: np.ndarray, at: np.ndarray, dst: np.ndarray, weight: np.ndarray, beta: np.ndarray, p: np.ndarray) -> None:
+    def _far(a: int, i: int, places: np.ndarray, at: np.ndarray, goal: np.ndarray, weight: np.ndarray, beta: np.ndarray, p: np.ndarray) -> None:
         """Sums and probabilities of places more than LONG from their word's end, one after another without arrays."""
         sums, low = beta.tolist(), places[i:].tolist()
-        high, where = [*low[1:], len(dst)], at[i:].tolist()
-        to, w, out = dst[a:].tolist(), weight[a:].tolist(), [0.0] * (len(dst) - a)
+        high, where = [*low[1:], len(goal)], at[i:].tolist()
+        to, w, out = goal[a:].tolist(), weight[a:].tolist(), [0.0] * (len(goal) - a)
         exp, log = math.exp, math.log
         for x, y, place in zip(low, high, where, strict=True):
             v = [w[e] + sums[to[e]] for e in range(x - a, y - a)]
@@ -298,10 +324,11 @@ class Lattice:
         size = np.zeros(len(at), np.int64)
         here, steps = at[who], []
         while len(who):
-            e = self.choose(here, uniforms(states[who] + here.astype(np.uint64) * _ODD))
+            e = self.choose(here, uniforms(states[who] + here.view(np.uint64) * _ODD))
             steps.append((who, e))
-            size[who] += 1
-            more = ~self.end[e]
+            over = self.end[e]
+            size[who[over]] = len(steps)
+            more = np.flatnonzero(~over)
             who, here = who[more], self.dst[e[more]].astype(np.int64)
         long = {}
         for k in np.flatnonzero(ends - at > LONG).tolist():
@@ -387,6 +414,7 @@ def top_k(lattice: Lattice, types: np.ndarray, bounds: np.ndarray, keys: np.ndar
         heads, head_owners, whole = [], [], np.empty(len(live), np.int64)
         begin = starts.copy()
         skip = np.zeros(len(types), bool)
+        draws = uniforms(other[live] + again).tolist()
         for row, (d, (_, _, parent, t, banned)) in enumerate(zip(live, popped, strict=True)):
             if parent is None:
                 heads.append(_NONE), head_owners.append(_NONE)
@@ -398,8 +426,7 @@ def top_k(lattice: Lattice, types: np.ndarray, bounds: np.ndarray, keys: np.ndar
             low = int(lattice.first[spot])
             choices = [e for e in range(low, low + int(lattice.count[spot])) if e not in banned]
             share = np.cumsum(lattice.p[choices])
-            draw = float(uniforms(other[d : d + 1] + again)[0])
-            e = choices[min(int(np.searchsorted(share, draw * share[-1], "right")), len(choices) - 1)]
+            e = choices[min(int(np.searchsorted(share, draws[row] * share[-1], "right")), len(choices) - 1)]
             heads.append(np.append(parent.edges[a : a + t], e)), head_owners.append(np.append(parent.owners[a : a + t], o))
             if lattice.end[e]:
                 skip[o] = True
@@ -412,8 +439,10 @@ def top_k(lattice: Lattice, types: np.ndarray, bounds: np.ndarray, keys: np.ndar
         owner = np.repeat(mine, size)
         cut = np.searchsorted(owner, np.append(whole, len(types)))
         cut[1:-1] = np.searchsorted(owner, stop[:-1])
-        edges = np.concatenate([x for row in range(len(live)) for x in (heads[row], walked[cut[row] : cut[row + 1]])])
-        owners = np.concatenate([x for row in range(len(live)) for x in (head_owners[row], owner[cut[row] : cut[row + 1]])])
+        edges, owners = walked, owner
+        if any(map(len, heads)):
+            edges = np.concatenate([x for row in range(len(live)) for x in (heads[row], walked[cut[row] : cut[row + 1]])])
+            owners = np.concatenate([x for row in range(len(live)) for x in (head_owners[row], owner[cut[row] : cut[row + 1]])])
         sizes = np.array([len(h) for h in heads], np.int64) + np.diff(cut)
         ends_at = np.cumsum(sizes)
         p = lattice.p[edges]
@@ -430,31 +459,28 @@ def top_k(lattice: Lattice, types: np.ndarray, bounds: np.ndarray, keys: np.ndar
         free = np.array([x[3] for x in popped], np.int64)
         left = sizes - free
         at = _ranges(ends_at - left, left)
-        rest = 1.0 - p[at]
-        many = lattice.count[lattice.src[edges[at]]]
-        open_ = many > 1
+        every = slice(None) if len(at) == len(edges) else at  # the same places, without a copy
+        rest = 1.0 - p[every]
+        open_ = lattice.open[edges[every]]
         row_first = np.cumsum(left) - left
         for row, x in enumerate(popped):
             if x[4]:
                 rest[row_first[row]] -= lattice.p[list(x[4])].sum()
-                open_[row_first[row]] = many[row_first[row]] > len(x[4]) + 1
-        mass = before[at] - logp[at] - np.repeat(offset, left) + np.log(np.maximum(rest, 1e-300))
-        counter = (at - np.repeat(ends_at - sizes, left)).astype(np.uint64)
-        late = np.where(open_, _log_exponential(np.repeat(other[live], left) + shift + counter * _ODD) - mass, np.inf)
-        which = np.repeat(np.arange(len(live)), left)
-        for _ in range(k - number):  # no more of them can ever be needed
-            least = np.minimum.reduceat(late, row_first)
-            hit = np.flatnonzero((late == np.repeat(least, left)) & np.isfinite(late))
-            if not len(hit):
-                break
-            hit = hit[np.flatnonzero(np.diff(which[hit], prepend=-1))]
-            for x, row in zip(hit.tolist(), which[hit].tolist(), strict=True):
-                time, _, _, t, banned = popped[row]
-                j = x - int(row_first[row])
+                open_[row_first[row]] = lattice.count[lattice.src[edges[at[row_first[row]]]]] > len(x[4]) + 1
+        mass = before[every] - logp[every] - np.repeat(offset, left) + np.log(np.maximum(rest, 1e-300))
+        # The counter of a draw is the edge's number in its path.
+        origin = other[live] + shift - (ends_at - sizes).astype(np.uint64) * _ODD
+        late = np.where(open_, _log_exponential(np.repeat(origin, left) + at.view(np.uint64) * _ODD) - mass, np.inf)
+        for row, (a, n) in enumerate(zip(row_first.tolist(), left.tolist(), strict=True)):
+            mine, (time, _, _, t, banned) = late[a : a + n], popped[row]
+            for _ in range(k - number):  # no more of them can ever be needed
+                j = int(mine.argmin())
+                if mine[j] == np.inf:
+                    break
+                edge = int(edges[at[a + j]])
                 serial += 1
-                gone = (*banned, int(edges[at[x]])) if j == 0 else (int(edges[at[x]]),)
-                heapq.heappush(heaps[live[row]], (float(np.logaddexp(time, late[x])), serial, path, t + j, gone))
-            late[hit] = np.inf
+                heapq.heappush(heaps[live[row]], (float(np.logaddexp(time, mine[j])), serial, path, t + j, (*banned, edge) if j == 0 else (edge,)))
+                mine[j] = np.inf
     out = []
     for d in range(n_docs):
         kappa = -heaps[d][0][0] if heaps[d] else -np.inf
@@ -469,11 +495,22 @@ def units_of(text: str) -> list[str]:
     return _UNITS.findall(SPACE + (text.translate(_SWAP) if SPACE in text else text.replace(" ", SPACE)))
 
 
-def _words(texts: list[str]) -> tuple[list[list[str]], bool]:
-    """The words of texts, without the U+2581 before each where single spaces alone part them in all of the texts."""
-    if any(SPACE in t or "  " in t or t[:1] == " " or t[-1:] == " " for t in texts):
-        return [units_of(t) for t in texts], False
-    return [t.split(" ") if t else [] for t in texts], True
+def _words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
+    """The distinct words of texts, the number among them of each word of each text, and how many words each text has.
+
+    Where single spaces alone part the words in all of the texts, they come without the U+2581 before each.
+    """
+    if not any(SPACE in t or "  " in t or t[:1] == " " or t[-1:] == " " for t in texts):
+        with suppress(UnicodeEncodeError):  # half of a surrogate pair, which Arrow does not take
+            lists = pc.split_pattern(pa.array([t for t in texts if t], pa.large_string()), " ")
+            coded = lists.flatten().dictionary_encode()
+            sizes = np.zeros(len(texts), np.int64)
+            sizes[[bool(t) for t in texts]] = lists.value_lengths().to_numpy()
+            return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), sizes, True
+    units = [units_of(t) for t in texts]
+    number: dict[str, int] = {}
+    at = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(units)), np.int64)
+    return list(number), at, np.array([len(u) for u in units], np.int64), False
 
 
 @dataclass
@@ -491,22 +528,22 @@ class Samples:
 
 def sample_rows(lattice: Lattice, rows: list[tuple], k: int, seed: int) -> Samples:
     """Up to k samples of each of the rows of (key, text)."""
-    words, bare = _words([text or "" for _, text in rows])
+    words, at, sizes, bare = _words([text or "" for _, text in rows])
     keys = np.array([xxhash.xxh3_64_intdigest(f"{seed}|{key}") for key, _ in rows], np.uint64)
-    full = np.array([x for x, w in enumerate(words) if w], np.int64)
-    types = lattice.numbers(list(chain.from_iterable(words)), bare)
-    bounds = np.concatenate([[0], np.cumsum([len(words[x]) for x in full])]).astype(np.int64)
+    full = np.flatnonzero(sizes)
+    types = lattice.numbers(words, bare)[at]
+    bounds = np.concatenate([[0], np.cumsum(sizes[full])])
     drawn = iter(top_k(lattice, types, bounds, keys[full], k) if len(full) else ())
     empty = -_log_exponential(mix(keys ^ np.uint64(0xA0761D6478BD642F)))
     out: list[list] = [[] for _ in range(5)]
     paths = []
-    for number, w in enumerate(words):
-        for rank, (edges, phi, g, inclusion) in enumerate(next(drawn) if w else [(_NONE, 0.0, float(empty[number]), 1.0)], 1):
+    for number, n_words in enumerate(sizes.tolist()):
+        for rank, (edges, phi, g, inclusion) in enumerate(next(drawn) if n_words else [(_NONE, 0.0, float(empty[number]), 1.0)], 1):
             paths.append(edges)
             for col, x in zip(out, (number, rank, phi, g, inclusion), strict=True):
                 col.append(x)
-    ids, sizes = lattice.pieces(np.concatenate(paths) if paths else _NONE)
-    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(x) for x in paths])] if paths else _NONE
+    ids, n_ids = lattice.pieces(np.concatenate(paths) if paths else _NONE)
+    ends = np.concatenate([[0], np.cumsum(n_ids)])[np.cumsum([len(x) for x in paths])] if paths else _NONE
     return Samples(*out, ids, ends)
 
 
@@ -543,7 +580,7 @@ def sample(docs: DataFrame, vocab: Vocabulary, k: int = 2, seed: int = 23, id_co
             keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for start, rows in _groups(texts, keys):
                 if lattice.size > KEPT_CHARS:
-                    lattice = Lattice(v)
+                    lattice.clear()
                 s = sample_rows(lattice, rows, k, seed)
                 raw, ends = v.joined(s.ids, s.ends)
                 exact, a = [], 0

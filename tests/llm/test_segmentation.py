@@ -95,3 +95,53 @@ def test_one_word_of_a_million_characters(vocab):
     text = "".join(np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 1_000_000))
     got = list(S.sample_group(vocab, [(1, text)], 2, 1))
     assert len(got) == 2 and all(vocab.decode(g[2]) == text for g in got) and got[0][2].tolist() != got[1][2].tolist()
+
+
+def test_a_group_looks_up_each_word_once(vocab, monkeypatch):
+    asked, numbers = [], S.Lattice.numbers
+    monkeypatch.setattr(S.Lattice, "numbers", lambda self, words, bare: asked.append(list(words)) or numbers(self, words, bare))
+    for rows in ([(1, "the same the same"), (2, ""), (3, "same words")], [(1, " the  same the  same"), (2, None), (3, "same words")]):
+        got = list(S.sample_group(vocab, rows, 2, 1))
+        assert [g[0] for g in got] == [0, 0, 1, 2, 2]
+        assert all(vocab.decode(g[2]) == (rows[g[0]][1] or "") for g in got)
+    assert asked[0] == ["the", "same", "words"] and len(asked[1]) == len(set(asked[1]))
+
+
+def test_a_lattice_that_forgets_is_like_a_new_one_and_keeps_its_room(vocab):
+    first, second = [(i, f"some words {i} of 字é a text ▁") for i in range(9)], [(i, f"another {i} 字") for i in range(5)]
+    lattice = S.Lattice(vocab)
+    S.sample_rows(lattice, first, 3, 1)
+    room = lattice.p
+    lattice.clear()
+    a, b = S.sample_rows(lattice, second, 3, 1), S.sample_rows(S.Lattice(vocab), second, 3, 1)
+    assert lattice.p is room
+    assert a.ids.tolist() == b.ids.tolist() and a.ends.tolist() == b.ends.tolist() and a.perturbed == b.perturbed
+
+
+def test_edges_of_a_lattice_are_all_pieces_by_length(vocab, monkeypatch):
+    index = {p: i for i, p in enumerate(vocab.pieces) if not vocab.kinds[i]}
+    units = [S.SPACE + w for w in ("theing", "a", "x字é\U0001f600y", "abcdefghij" * 3)]
+    for near in (256, 5):
+        monkeypatch.setattr(S, "LONG", near)
+        lattice = S.Lattice(vocab)
+        lattice.add(units)
+        for unit, start in zip(units, lattice.starts.tolist(), strict=False):
+            for i in range(len(unit)):
+                want = [(j - i, index.get(unit[i:j], -1)) for j in range(i + 1, len(unit) + 1) if j == i + 1 or unit[i:j] in index]
+                low, n = int(lattice.first[start + i]), int(lattice.count[start + i])
+                edges = np.arange(low, low + n)
+                assert [(int(d) - start - i, max(int(p), -1)) for d, p in zip(lattice.dst[edges], lattice.piece[edges], strict=True)] == want
+                assert (lattice.src[edges] == start + i).all() and (lattice.open[edges] == (n > 1)).all()
+                assert (lattice.end[edges] == (lattice.dst[edges] == start + len(unit))).all()
+                assert math.isclose(lattice.p[edges].sum(), 1) and lattice.top[start + i] == lattice.p[edges].max() == lattice.p[lattice.best[start + i]]
+
+
+def test_half_a_surrogate_pair_is_a_character_of_its_own(vocab):
+    got = list(S.sample_group(vocab, [(1, "a \ud800 b"), (2, "plain words")], 2, 1))
+    assert [vocab.decode(g[2]) for g in got] == ["a ? b"] * 2 + ["plain words"] * 2
+    assert got[2][2].tolist() == list(S.sample_group(vocab, [(2, "plain words")], 2, 1))[0][2].tolist()
+
+
+def test_ids_without_bytes_decode_to_nothing(vocab):
+    control = int(np.flatnonzero(vocab.kinds == 2)[0])
+    assert vocab.decode([control, control]) == "" == vocab.decode([])
