@@ -140,20 +140,25 @@ def height_field(samples: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "level", "floor_asl", lat.alias("center_lat"), ((F.col("w") + F.col("e")) / 2).alias("center_lon"), (pixel * F.cos(F.radians(lat)) * width).alias("size_x"), (pixel * height).alias("size_z"), heights.alias("heights"))
 
 
-def mesh_corners(tris: DataFrame, verts: DataFrame, keys: list[str]) -> DataFrame:
-    """Triangles with the positions of their corners, by one equality join on the exploded corners."""
+def mesh_corners(tris: DataFrame, verts: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """Triangles with the positions of their corners, by one equality join on the exploded corners.
+
+    Vertices are never broadcast: where they are exploded from few rows, they look small to the planner.  ``parts`` fixes
+    the number of tasks, so that a caller who knows the number of rows can bound what one task sorts.
+    """
+    spread = lambda df, *by: df.repartition(parts, *keys, *by) if parts else df
     corners = tris.select(*keys, F.col("idx").alias("tri"), F.posexplode(F.array("i0", "i1", "i2")).alias("k", "idx"))
-    hit = corners.join(verts, [*keys, "idx"])
-    return hit.groupBy(*keys, "tri").agg(*(F.max(F.when(F.col("k") == k, F.col(a))).alias(f"{a}{k}") for k in range(3) for a in "xyz"))
+    hit = spread(corners, "idx").join(spread(verts, "idx").hint("merge"), [*keys, "idx"])
+    return spread(hit, "tri").groupBy(*keys, "tri").agg(*(F.max(F.when(F.col("k") == k, F.col(a))).alias(f"{a}{k}") for k in range(3) for a in "xyz"))
 
 
 def transformed(verts: DataFrame, origin: Vec3, turn: Quaternion) -> DataFrame:
     return verts.withColumns(dict(zip("xyz", origin.plus(Vec3.columns("").rotated(turn)), strict=True)))
 
 
-def unshared(tris: DataFrame, verts: DataFrame, keys: list[str]) -> DataFrame:
+def unshared(tris: DataFrame, verts: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """Three vertices of its own for each triangle, in flipped order, with the face's normal."""
-    t = mesh_corners(tris, verts, keys)
+    t = mesh_corners(tris, verts, keys, parts)
     a, b, c = (Vec3(*(F.col(f"{x}{k}") for x in "xyz")) for k in range(3))
     n = c.minus(a).cross(b.minus(a)).normalized_or_zero()
     three = F.array(*(F.struct((F.col("tri") * 3 + k).alias("idx"), *v.named(""), *n.named("n")) for k, v in enumerate((a, c, b))))
